@@ -11,14 +11,13 @@ from ..functions.calendar import DAYS_PER_YEAR, HOURS_PER_DAY, cycle, day_index,
 from ..functions.scalar import known
 from ..spec import PanelSpec
 from .ordered import Skew, by_time, windowed
+from .rolling import STATISTICS, rolling
 
 # The default feature set.
 LAGS = (1, 6, 24, 72)
 CHANGES = (1, 6, 24, 72)
 WINDOWS = (6, 24, 72)
-STATISTICS = ("mean", "std")
-
-_AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+DEFAULT_STATISTICS = ("mean", "std")
 
 
 def time_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -48,7 +47,7 @@ def series_features(
     lags: Iterable[int] = LAGS,
     changes: Iterable[int] = CHANGES,
     windows: Iterable[int] = WINDOWS,
-    statistics: Iterable[str] = STATISTICS,
+    statistics: Iterable[str] = DEFAULT_STATISTICS,
     output_type: str = "float",
     skew: Skew | None = None,
 ) -> DataFrame:
@@ -59,7 +58,7 @@ def series_features(
     """
     sensors = list(sensors if sensors is not None else spec.sensors)
     lags, changes, windows = list(lags), list(changes), list(windows)
-    chosen = [name for name in _AGGREGATES if name in set(statistics)]
+    chosen = [name for name in STATISTICS if name in set(statistics)]
     reach = max([0, *lags, *changes, *[w - 1 for w in windows]])
     ahead = max([0, *[-k for k in lags], *[-k for k in changes]])
 
@@ -70,15 +69,6 @@ def series_features(
             for s in sensors
             for k in dict.fromkeys([*lags, *changes])
         }
-        rolled = {}
-        for sensor in sensors:
-            value = known(df, sensor)
-            for window in windows if chosen else []:
-                rows = series.rowsBetween(1 - window, 0)
-                rolled[f"_n_{sensor}_{window}"] = F.count(value).over(rows)
-                for name in chosen:
-                    rolled[f"_{name}_{sensor}_{window}"] = _AGGREGATES[name](value).over(rows)
-
         output = []
         for sensor in sensors:
             output += [
@@ -89,13 +79,12 @@ def series_features(
                 for k in changes
             ]
             output += [
-                F.when(F.col(f"_n_{sensor}_{w}") == w, F.col(f"_{name}_{sensor}_{w}"))
-                .cast(output_type)
-                .alias(f"{sensor}_roll_{name}_{w}h")
+                F.col(f"_{name}_{sensor}_{w}").cast(output_type).alias(f"{sensor}_roll_{name}_{w}h")
                 for w in windows
                 for name in chosen
             ]
-        return frame.withColumns({**shifts, **rolled}).select(*frame.columns, *output)
+        rolled = rolling(frame.withColumns(shifts), sensors, windows if chosen else [], chosen, series)
+        return rolled.select(*frame.columns, *output)
 
     return windowed(df, spec, build, before=reach, after=ahead, skew=skew)
 
@@ -107,7 +96,7 @@ def common_features(
     lags: Iterable[int] = LAGS,
     changes: Iterable[int] = CHANGES,
     windows: Iterable[int] = WINDOWS,
-    statistics: Iterable[str] = STATISTICS,
+    statistics: Iterable[str] = DEFAULT_STATISTICS,
     output_type: str = "float",
     skew: Skew | None = None,
 ) -> DataFrame:

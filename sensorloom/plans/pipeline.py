@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean
-from ..operators.features import CHANGES, LAGS, STATISTICS, WINDOWS, common_features
+from ..operators.features import CHANGES, DEFAULT_STATISTICS, LAGS, WINDOWS, common_features
 from ..operators.ordered import Skew, measure
 from ..operators.split import chronological_split, drop_boundary_gap, join_manifest
 from ..operators.targets import future_event, future_point
@@ -35,7 +35,7 @@ class PipelineConfig:
     lags: tuple[int, ...] = LAGS
     changes: tuple[int, ...] = CHANGES
     windows: tuple[int, ...] = WINDOWS
-    statistics: tuple[str, ...] = STATISTICS
+    statistics: tuple[str, ...] = DEFAULT_STATISTICS
     extra: Mapping[str, object] = field(default_factory=dict)
 
     @classmethod
@@ -62,7 +62,7 @@ class PipelineConfig:
             lags=tuple(features.get("lags_hours", LAGS)),
             changes=tuple(features.get("change_hours", CHANGES)),
             windows=tuple(features.get("rolling_windows_hours", WINDOWS)),
-            statistics=tuple(features.get("rolling_statistics", STATISTICS)),
+            statistics=tuple(features.get("rolling_statistics", DEFAULT_STATISTICS)),
         )
 
 
