@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import contracts, profile
 from sensorloom.operators.clean import canonical_types, clean, interpolate_time, keep_last
 from sensorloom.operators.features import common_features, series_features, time_features
+from sensorloom.operators.ordered import Skew, measure
 from sensorloom.operators.split import chronological_split, drop_boundary_gap, join_manifest, with_splits
 from sensorloom.operators.targets import future_event, future_point
 from sensorloom.operators.validate import (
@@ -69,6 +70,11 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.select(*columns)
 
 
+def sizes(spark: SparkSession, folder: str) -> Skew:
+    """Entity sizes of the panel, bounded by those of its raw rows (cheaper to count)."""
+    return measure(panel_raw(spark, folder).select("entity", "ts"), PANEL)
+
+
 FEATURE_DIGITS = {"_change_": 6, "_roll_mean_": 5, "_roll_std_": 3}
 
 
@@ -168,7 +174,7 @@ def clean_table(spark, folder):
 
 
 def _interpolated(spark, folder):
-    filled = interpolate_time(panel(spark, folder, holes=True), PANEL, limit=2)
+    filled = interpolate_time(panel(spark, folder, holes=True), PANEL, limit=2, skew=sizes(spark, folder))
     return rounded(filled.select("entity", "ts", "s1", "s2"), {"s1": 6})
 
 
@@ -188,29 +194,29 @@ def interpolate_gaps_long_entities(spark, folder):
 
 @query
 def split_manifest(spark, folder):
-    return chronological_split(panel(spark, folder), PANEL, gap_rows=24)
+    return chronological_split(panel(spark, folder), PANEL, gap_rows=24, skew=sizes(spark, folder))
 
 
 @query
 def split_manifest_long_entities(spark, folder):
     with small_groups(spark):
-        return chronological_split(panel(spark, folder), PANEL, gap_rows=24)
+        return chronological_split(panel(spark, folder), PANEL, gap_rows=24, skew=sizes(spark, folder))
 
 
 @query
 def split_joined(spark, folder):
     frame = panel(spark, folder).select("entity", "ts", "s1")
-    return join_manifest(frame, chronological_split(frame, PANEL, gap_rows=24), PANEL)
+    return join_manifest(frame, chronological_split(frame, PANEL, gap_rows=24, skew=sizes(spark, folder)), PANEL)
 
 
 @query
 def split_by_window(spark, folder):
-    return with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, 0.6, 0.2, 10)
+    return with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, 0.6, 0.2, 10, sizes(spark, folder))
 
 
 @query
 def leakage_free(spark, folder):
-    return drop_boundary_gap(with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, gap_rows=24))
+    return drop_boundary_gap(with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, gap_rows=24, skew=sizes(spark, folder)))
 
 
 # --- targets -------------------------------------------------------------------------
@@ -219,26 +225,26 @@ def leakage_free(spark, folder):
 @query
 def future_value(spark, folder):
     frame = panel(spark, folder).select("entity", "ts", "s1")
-    return future_point(frame, PANEL, "s1", 6, "s1_in_6")
+    return future_point(frame, PANEL, "s1", 6, "s1_in_6", sizes(spark, folder))
 
 
 @query
 def future_label(spark, folder):
     frame = panel(spark, folder).select("entity", "ts", "t3")
-    return future_event(frame, PANEL, "t3", 24, "t3_within_24")
+    return future_event(frame, PANEL, "t3", 24, "t3_within_24", sizes(spark, folder))
 
 
 @query
 def future_label_missing_values(spark, folder):
     frame = panel(spark, folder, holes=True).select("entity", "ts", "s1")
-    return future_event(frame, PANEL, "s1", 3, "s1_peak")
+    return future_event(frame, PANEL, "s1", 3, "s1_peak", sizes(spark, folder))
 
 
 @query
 def future_label_long_entities(spark, folder):
     with small_groups(spark):
         frame = panel(spark, folder).select("entity", "ts", "t3")
-        return future_event(frame, PANEL, "t3", 24, "t3_within_24")
+        return future_event(frame, PANEL, "t3", 24, "t3_within_24", sizes(spark, folder))
 
 
 # --- features ------------------------------------------------------------------------
@@ -259,19 +265,19 @@ def cyclic_features(spark, folder):
 @query
 def lag_change(spark, folder):
     frame = panel(spark, folder).select("entity", "ts", "s1", "s2")
-    found = series_features(frame, PANEL, ("s1", "s2"), LAGS, LAGS, (), (), "double")
+    found = series_features(frame, PANEL, ("s1", "s2"), LAGS, LAGS, (), (), "double", sizes(spark, folder))
     return rounded(found, FEATURE_DIGITS)
 
 
 @query
 def rolling_statistics(spark, folder):
     frame = panel(spark, folder, holes=True).select("entity", "ts", "s1", "s2")
-    found = series_features(frame, PANEL, ("s1", "s2"), (), (), WINDOWS, ("mean", "std", "min", "max"), "double")
+    found = series_features(frame, PANEL, ("s1", "s2"), (), (), WINDOWS, ("mean", "std", "min", "max"), "double", sizes(spark, folder))
     return rounded(found, FEATURE_DIGITS)
 
 
 def _features(spark, folder):
-    found = common_features(panel(spark, folder), PANEL, output_type="double")
+    found = common_features(panel(spark, folder), PANEL, output_type="double", skew=sizes(spark, folder))
     return rounded(found.drop("hour_sin", "hour_cos", "day_of_year_sin", "day_of_year_cos", *PANEL.labels), FEATURE_DIGITS)
 
 
@@ -291,12 +297,12 @@ def feature_set_long_entities(spark, folder):
 
 @query
 def dataset_summary(spark, folder):
-    return profile.summary(panel(spark, folder), PANEL)
+    return profile.summary(panel(spark, folder), PANEL, skew=sizes(spark, folder))
 
 
 @query
 def sampling_interval(spark, folder):
-    return profile.sampling_interval(panel(spark, folder), PANEL)
+    return profile.sampling_interval(panel(spark, folder), PANEL, sizes(spark, folder))
 
 
 @query
@@ -305,20 +311,26 @@ def sampling_interval_long_entities(spark, folder):
         return profile.sampling_interval(live_raw(spark, folder), LIVE)
 
 
+def _statistics(spark, folder):
+    frame = panel(spark, folder, holes=True)
+    quartiles = profile.sensor_quartiles(frame, PANEL, sizes(spark, folder).rows)
+    return profile.sensor_statistics(frame, PANEL, quartiles=quartiles)
+
+
 @query
 def sensor_statistics(spark, folder):
-    return profile.sensor_statistics(panel(spark, folder, holes=True), PANEL)
+    return _statistics(spark, folder)
 
 
 @query
 def sensor_statistics_many_values(spark, folder):
     with small_groups(spark):
-        return profile.sensor_statistics(panel(spark, folder, holes=True), PANEL)
+        return _statistics(spark, folder)
 
 
 @query
 def sensor_summary_report(spark, folder):
-    found = report_tables(panel(spark, folder), PANEL)["sensor_summary"]
+    found = report_tables(panel(spark, folder), PANEL, sizes(spark, folder).rows)["sensor_summary"]
     return found.select(
         "sensor", "count", *[F.round(f"`{c}`", 4).alias(n) for c, n in
         {"mean": "mean", "std": "std", "min": "min", "25%": "q25", "50%": "q50", "75%": "q75", "max": "max"}.items()],
@@ -327,7 +339,9 @@ def sensor_summary_report(spark, folder):
 
 @query
 def outlier_analysis(spark, folder):
-    return profile.outlier_analysis(panel(spark, folder), replace(PANEL, sensors=("s1", "s2", "s3", "s4", "t3")))
+    frame, spec = panel(spark, folder), replace(PANEL, sensors=("s1", "s2", "s3", "s4", "t3"))
+    quartiles = profile.sensor_quartiles(frame, spec, sizes(spark, folder).rows)
+    return profile.outlier_analysis(frame, spec, quartiles=quartiles)
 
 
 @query
@@ -352,7 +366,7 @@ def sensor_correlation_matrix(spark, folder):
 
 @query
 def entity_coverage(spark, folder):
-    return profile.entity_coverage(panel(spark, folder), PANEL)
+    return profile.entity_coverage(panel(spark, folder), PANEL, skew=sizes(spark, folder))
 
 
 @query
@@ -545,7 +559,7 @@ def label_timeline_rate(spark, folder):
 
 @query
 def coverage_duration(spark, folder):
-    return profile.coverage_metric(profile.entity_coverage(panel(spark, folder), PANEL), "duration", "entity")
+    return profile.coverage_metric(profile.entity_coverage(panel(spark, folder), PANEL, skew=sizes(spark, folder)), "duration", "entity")
 
 
 @query
@@ -570,8 +584,8 @@ def training_rows(spark, folder):
     """Features, target, manifest join and leakage removal in one flow."""
     frame = panel(spark, folder).select("entity", "ts", *PANEL.sensors, "t3")
     config = PipelineConfig(spec=PANEL, lags=(1,), changes=(6,), windows=(6,), statistics=("mean",))
-    manifest = chronological_split(frame, PANEL, gap_rows=24)
-    found = training_table(frame, manifest, config, target="t3", horizon=24, output="event")
+    manifest = chronological_split(frame, PANEL, gap_rows=24, skew=sizes(spark, folder))
+    found = training_table(frame, manifest, config, target="t3", horizon=24, output="event", skew=sizes(spark, folder))
     return rounded(found.select("entity", "ts", "split", "s1_lag_1h", "s1_change_6h", "event"), {"s1_": 3})
 
 

@@ -21,9 +21,9 @@ from ..functions.scalar import (
     rounded,
     short_number,
 )
-from ..settings import checkpoint
+from ..settings import checkpoint, max_distinct
 from ..spec import PanelSpec
-from .ordered import Skew, by_time, windowed
+from .ordered import Skew, by_time, measure, windowed
 from .quantiles import column_quantiles
 from .validate import duplicate_keys
 
@@ -61,10 +61,13 @@ def sampling_interval(df: DataFrame, spec: PanelSpec, skew: Skew | None = None)
     def build(frame: DataFrame, group: list[str]) -> DataFrame:
         return frame.withColumn("step", at - F.lag(at, 1).over(by_time(group, spec)))
 
+    skew = skew or measure(keys, spec)
     steps = windowed(keys, spec, build, before=1, skew=skew).filter(F.col("step").isNotNull())
-    # Few distinct steps stand for many rows; counted once, then read several times.
-    counted = checkpoint(steps.groupBy("step").agg(F.count("*").alias("n")))
-    median = column_quantiles(counted, ["step"], [0.5], weight="n")
+    counted = steps.groupBy("step").agg(F.count("*").alias("n"))
+    if skew.rows > max_distinct(df.sparkSession):
+        # Few distinct steps stand for many rows; count them once, read them several times.
+        counted = checkpoint(counted)
+    median = column_quantiles(counted, ["step"], [0.5], weight="n", rows=skew.rows)
     seconds = F.element_at("quantiles", 1) / MICROS
     return median.select(F.when(seconds > 0, seconds).alias("seconds"))
 
@@ -79,8 +82,10 @@ def sampling_label(seconds: Column) -> Column:
     )
 
 
-def summary(df: DataFrame, spec: PanelSpec, sampling: DataFrame | None = None) -> DataFrame:
-    sampling = sampling if sampling is not None else sampling_interval(df, spec)
+def summary(
+    df: DataFrame, spec: PanelSpec, sampling: DataFrame | None = None, skew: Skew | None = None
+) -> DataFrame:
+    sampling = sampling if sampling is not None else sampling_interval(df, spec, skew)
     ts = lenient_timestamp(df, spec.timestamp)
     totals = df.agg(
         F.count("*").alias("total_records"),
@@ -102,9 +107,9 @@ def summary(df: DataFrame, spec: PanelSpec, sampling: DataFrame | None = None) -
 # --- sensors -------------------------------------------------------------------------
 
 
-def sensor_quartiles(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def sensor_quartiles(df: DataFrame, spec: PanelSpec, rows: int | None = None) -> DataFrame:
     """Rows (column, count, quantiles): the three quartiles of every sensor."""
-    return column_quantiles(df, spec.sensors, QUARTILES)
+    return column_quantiles(df, spec.sensors, QUARTILES, rows=rows)
 
 
 def sensor_statistics(
@@ -212,32 +217,31 @@ def histogram(df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None
         )
 
     placed = df.withColumn("_spans", span).select(
-        F.inline(_rows_of(spec.sensors, lambda s: {"column": F.lit(s), "bin": bin_of(s).cast("int")}))
-    )
-    counts = placed.filter(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count("*").alias("n"))
-    frame = spans.select(
         F.inline(
             _rows_of(
                 spec.sensors,
                 lambda s: {
-                    "column": F.lit(s),
                     "sensor": F.lit(spec.sensor_name(s)),
-                    "low": F.col(f"spans.{s}.low"),
-                    "high": F.col(f"spans.{s}.high"),
+                    "low": F.col(f"_spans.{s}.low"),
+                    "high": F.col(f"_spans.{s}.high"),
+                    "bin": bin_of(s).cast("int"),
                 },
             )
         )
-    ).filter(F.col("low").isNotNull())
-    edges = frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    )
+    counts = placed.filter(F.col("bin").isNotNull()).groupBy("sensor", "low", "high", "bin").agg(F.count("*").alias("n"))
+    # At most one row per bin is left, so every sensor's counts fit one map.
+    full = counts.groupBy("sensor", "low", "high").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
+    edges = full.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     start = edge(F.col("low"), F.col("high"), F.col("bin"))
     stop = edge(F.col("low"), F.col("high"), F.col("bin") + 1)
-    return edges.join(counts, ["column", "bin"], "left").select(
+    return edges.select(
         "sensor",
         "bin",
         rounded(start, digits).alias("bin_start"),
         rounded(stop, digits).alias("bin_end"),
         rounded((start + stop) / 2, digits).alias("bin_center"),
-        F.coalesce("n", F.lit(0)).alias("count"),
+        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("count"),
     )
 
 
@@ -290,9 +294,11 @@ def correlation_matrix(df: DataFrame, spec: PanelSpec, digits: int | None = None
 # --- entities ------------------------------------------------------------------------
 
 
-def entity_coverage(df: DataFrame, spec: PanelSpec, sampling: DataFrame | None = None) -> DataFrame:
+def entity_coverage(
+    df: DataFrame, spec: PanelSpec, sampling: DataFrame | None = None, skew: Skew | None = None
+) -> DataFrame:
     """Rows, range and share of expected rows per entity; a missing entity is a group too."""
-    sampling = sampling if sampling is not None else sampling_interval(df, spec)
+    sampling = sampling if sampling is not None else sampling_interval(df, spec, skew)
     ts = lenient_timestamp(df, spec.timestamp)
     grouped = df.groupBy(F.col(spec.entity).alias(spec.entity_name)).agg(
         F.count("*").alias("records"), F.min(ts).alias("first"), F.max(ts).alias("last")

@@ -33,11 +33,19 @@ def validation_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
         F.count_if(missing(df, spec.entity)).alias("null_entities"),
         *[F.count_if(missing(df, name)).alias(f"missing_{name}") for name in spec.required],
         *[count.alias(f"outside_{sensor}") for sensor, count in outside.items()],
+        F.count_if(_any_invalid_label(df, spec)).alias("invalid_label_rows"),
         iso_text(F.min(moment)).alias("start"),
         iso_text(F.max(moment)).alias("end"),
     )
 
 
+def _any_invalid_label(df: DataFrame, spec: PanelSpec) -> Column:
+    invalid = F.lit(False)
+    for label in spec.labels:
+        invalid = invalid | F.coalesce(~lenient_number(df, label).isin(0.0, 1.0), F.lit(False))
+    return invalid
+
+
 def missing_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Rows (column, missing) for every required column."""
     require_columns(df, spec)
@@ -92,7 +100,9 @@ def validation_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
         raise ValueError(f"The {spec.entity} column contains missing values.")
 
     invalid = binary_domain(df, spec)
-    distinct = invalid.groupBy("label").agg(F.count("*").alias("n")).collect()
+    distinct = []
+    if counts["invalid_label_rows"]:
+        distinct = invalid.groupBy("label").agg(F.count("*").alias("n")).collect()
     listed = [row["label"] for row in distinct if row["n"] <= max_distinct(df.sparkSession)]
     values = F.lit(None).cast("map<string,array<double>>")
     if listed:

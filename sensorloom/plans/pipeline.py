@@ -99,8 +99,9 @@ def run_pipeline(spark: SparkSession, source: str, out: str, config: PipelineCon
 
     table = spark.read.parquet(paths["clean"])
     write_json_report(validation_report(table, spec), paths["clean_report"])
-    eda_report(table, spec, paths["eda"])
-    manifest = chronological_split(table, spec, config.train, config.validation, config.gap_rows)
+    skew = measure(table, spec)
+    eda_report(table, spec, paths["eda"], skew.rows)
+    manifest = chronological_split(table, spec, config.train, config.validation, config.gap_rows, skew)
     write_panel(manifest, paths["manifest"], spec)
     return paths
 

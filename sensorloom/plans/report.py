@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ class Exploration(Mapping[str, DataFrame]):
 
     @cached_property
     def _quartiles(self) -> DataFrame:
-        return P.sensor_quartiles(self._df, self._spec)
+        return P.sensor_quartiles(self._df, self._spec, self._skew.rows)
 
     @cached_property
     def _sections(self) -> dict[str, Callable[[], DataFrame]]:
@@ -88,10 +89,10 @@ def write_sections(sections: Mapping[str, DataFrame], path: str) -> None:
         write_json_report(frame, f"{path}/{name}", one_file=name not in _GROWING)
 
 
-def report_tables(df: DataFrame, spec: PanelSpec) -> dict[str, DataFrame]:
+def report_tables(df: DataFrame, spec: PanelSpec, rows: int | None = None) -> dict[str, DataFrame]:
     """The unrounded report tables, in the order they are written."""
-    quartiles = P.sensor_quartiles(df, spec)
-    plain = _plain_names(spec)
+    quartiles = P.sensor_quartiles(df, spec, rows)
+    plain = replace(spec, sensor_names={})
     described = P.sensor_statistics(df, plain, digits=None, quartiles=quartiles)
     return {
         "sensor_summary": described.select(
@@ -117,15 +118,9 @@ def report_tables(df: DataFrame, spec: PanelSpec) -> dict[str, DataFrame]:
     }
 
 
-def _plain_names(spec: PanelSpec) -> PanelSpec:
-    from dataclasses import replace
-
-    return replace(spec, sensor_names={})
-
-
-def eda_report(df: DataFrame, spec: PanelSpec, path: str) -> None:
+def eda_report(df: DataFrame, spec: PanelSpec, path: str, rows: int | None = None) -> None:
     """Write the ten report tables as CSV and the label value counts as JSON."""
     growing = {"hive_coverage", "target_by_hive"}
-    for name, frame in report_tables(df, spec).items():
+    for name, frame in report_tables(df, spec, rows).items():
         write_csv_report(frame, f"{path}/{name}", one_file=name not in growing)
     write_json_report(P.label_value_counts(df, spec).orderBy("target", "value"), f"{path}/target_balance")
