@@ -207,32 +207,37 @@ def histogram(df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None
     def edge(low: Column, high: Column, number: Column) -> Column:
         return F.when(number == bins, high).otherwise(low + number * ((high - low) / bins))
 
-    def bin_of(sensor: str) -> Column:
-        value, low, high = _number(df, sensor), F.col(f"_spans.{sensor}.low"), F.col(f"_spans.{sensor}.high")
-        guess = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
-        return (
-            F.when(value < edge(low, high, guess), guess - 1)
-            .when((value >= edge(low, high, guess + 1)) & (guess != bins - 1), guess + 1)
-            .otherwise(guess)
-        )
-
-    placed = df.withColumn("_spans", span).select(
-        F.inline(
-            _rows_of(
-                spec.sensors,
-                lambda s: {
-                    "sensor": F.lit(spec.sensor_name(s)),
-                    "low": F.col(f"_spans.{s}.low"),
-                    "high": F.col(f"_spans.{s}.high"),
-                    "bin": bin_of(s).cast("int"),
-                },
-            )
-        )
+    def ends(sensor: str) -> tuple[Column, Column]:
+        return F.col(f"_spans.{sensor}.low"), F.col(f"_spans.{sensor}.high")
+
+    def guess(sensor: str) -> Column:
+        low, high = ends(sensor)
+        share = (_number(df, sensor) - low) / (high - low)
+        return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+
+    def settled(sensor: str) -> Column:
+        (low, high), value, number = ends(sensor), _number(df, sensor), F.col(f"_guess_{sensor}")
+        beyond = (value >= edge(low, high, number + 1)) & (number != bins - 1)
+        return number - (value < edge(low, high, number)).cast("int") + beyond.cast("int")
+
+    # One integer per value says both sensor and bin: few, small groups before the exchange.
+    codes = F.array(*[F.lit(i * bins) + settled(s) for i, s in enumerate(spec.sensors)])
+    counts = (
+        df.withColumn("_spans", span)
+        .withColumns({f"_guess_{s}": guess(s) for s in spec.sensors})
+        .select(F.explode(codes).alias("code"))
+        .filter(F.col("code").isNotNull())
+        .groupBy("code")
+        .agg(F.count("*").alias("n"))
+    )
+    # At most one row per sensor and bin is left, so all counts fit one map.
+    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("counts")).withColumn("_spans", span)
+    names = [F.struct(F.lit(i).alias("i"), F.lit(spec.sensor_name(s)).alias("sensor"), ends(s)[0].alias("low"), ends(s)[1].alias("high")) for i, s in enumerate(spec.sensors)]
+    edges = (
+        held.select("counts", F.explode(F.array(*names)).alias("s"))
+        .select("counts", "s.*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        .filter(F.col("low").isNotNull())
     )
-    counts = placed.filter(F.col("bin").isNotNull()).groupBy("sensor", "low", "high", "bin").agg(F.count("*").alias("n"))
-    # At most one row per bin is left, so every sensor's counts fit one map.
-    full = counts.groupBy("sensor", "low", "high").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
-    edges = full.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     start = edge(F.col("low"), F.col("high"), F.col("bin"))
     stop = edge(F.col("low"), F.col("high"), F.col("bin") + 1)
     return edges.select(
@@ -241,7 +246,7 @@ def histogram(df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None
         rounded(start, digits).alias("bin_start"),
         rounded(stop, digits).alias("bin_end"),
         rounded((start + stop) / 2, digits).alias("bin_center"),
-        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("count"),
+        F.coalesce(F.try_element_at("counts", F.col("i") * bins + F.col("bin")), F.lit(0)).alias("count"),
     )
 
 
