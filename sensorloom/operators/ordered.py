@@ -29,7 +29,7 @@ from ..functions.scalar import epoch_micros
 from ..settings import MAX_LISTED_GROUPS, max_group_rows
 from ..spec import PanelSpec
 
-MAX_PIECES = 4_096
+MAX_PIECES = 16_384
 _ROWS_PER_CUT = 200
 
 

@@ -112,24 +112,31 @@ def sensor_quartiles(df: DataFrame, spec: PanelSpec, rows: int | None = None) ->
     return column_quantiles(df, spec.sensors, QUARTILES, rows=rows)
 
 
+def _sensor_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
+    return [
+        F.struct(
+            F.count(_number(df, s)).alias("count"),
+            F.avg(_number(df, s)).alias("mean"),
+            F.stddev_samp(_number(df, s)).alias("std"),
+            F.min(_number(df, s)).alias("min"),
+            F.max(_number(df, s)).alias("max"),
+        ).alias(f"sensor_{s}")
+        for s in spec.sensors
+    ]
+
+
 def sensor_statistics(
-    df: DataFrame, spec: PanelSpec, digits: int | None = 3, quartiles: DataFrame | None = None
+    df: DataFrame,
+    spec: PanelSpec,
+    digits: int | None = 3,
+    quartiles: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     quartiles = quartiles if quartiles is not None else sensor_quartiles(df, spec)
-    moments = df.agg(
-        *[
-            F.struct(
-                F.count(_number(df, s)).alias("count"),
-                F.avg(_number(df, s)).alias("mean"),
-                F.stddev_samp(_number(df, s)).alias("std"),
-                F.min(_number(df, s)).alias("min"),
-                F.max(_number(df, s)).alias("max"),
-            ).alias(s)
-            for s in spec.sensors
-        ]
-    )
+    moments = totals if totals is not None else df.agg(*_sensor_measures(df, spec))
     rows = _rows_of(
-        spec.sensors, lambda s: {"column": F.lit(s), "name": F.lit(spec.sensor_name(s)), "m": F.col(s)}
+        spec.sensors,
+        lambda s: {"column": F.lit(s), "name": F.lit(spec.sensor_name(s)), "m": F.col(f"sensor_{s}")},
     )
     long = moments.select(F.inline(rows)).join(quartiles.select("column", "quantiles"), "column")
 
@@ -193,16 +200,18 @@ def outlier_analysis(
     return counted.select(F.inline(rows))
 
 
-def histogram(df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None = 3) -> DataFrame:
+def histogram(
+    df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None = 3, totals: DataFrame | None = None
+) -> DataFrame:
     """Equal-width histogram per sensor; empty bins stay, the last bin is closed.
 
     A value that rounding places beside its bin edge is moved to the bin whose edges
     really enclose it. A constant sensor gets a range of one around its value.
     """
-    spans = df.agg(
-        *[F.struct(F.min(_number(df, s)).alias("low"), F.max(_number(df, s)).alias("high")).alias(s) for s in spec.sensors]
-    ).select(F.struct(*[_widened(s) for s in spec.sensors]).alias("spans"))
-    span = spans.scalar()
+    if totals is None:
+        ends_of = [F.struct(F.min(_number(df, s)).alias("min"), F.max(_number(df, s)).alias("max")) for s in spec.sensors]
+        totals = df.agg(*[end.alias(f"sensor_{s}") for s, end in zip(spec.sensors, ends_of, strict=True)])
+    span = totals.select(F.struct(*[_widened(s) for s in spec.sensors]).alias("spans")).scalar()
 
     def edge(low: Column, high: Column, number: Column) -> Column:
         return F.when(number == bins, high).otherwise(low + number * ((high - low) / bins))
@@ -251,49 +260,59 @@ def histogram(df: DataFrame, spec: PanelSpec, bins: int = 36, digits: int | None
 
 
 def _widened(sensor: str) -> Column:
-    low, high = F.col(f"{sensor}.low"), F.col(f"{sensor}.high")
+    low, high = F.col(f"sensor_{sensor}.min"), F.col(f"sensor_{sensor}.max")
     same = low == high
     return F.struct(
         F.when(same, low - 0.5).otherwise(low).alias("low"), F.when(same, high + 0.5).otherwise(high).alias("high")
     ).alias(sensor)
 
 
-def correlation(df: DataFrame, spec: PanelSpec, digits: int | None = 4) -> DataFrame:
-    """Rows (row, column, correlation): Pearson over the rows where both are known.
+def _pairs(names: Sequence[str], prefix: str) -> dict[tuple[str, str], str]:
+    """A column name for every unordered pair, found under both of its orders."""
+    result = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            result[(a, b)] = f"{prefix}_{min(i, j)}_{max(i, j)}"
+    return result
 
-    A constant sensor gives NULL. Symmetric pairs are computed once.
-    """
-    sensors = list(spec.sensors)
-    pairs = {(a, b): f"_c{i}_{j}" for i, a in enumerate(sensors) for j, b in enumerate(sensors) if i <= j}
 
+def _correlation_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
     def pearson(a: str, b: str) -> Column:
         x, y = _number(df, a), _number(df, b)
         both = x.isNotNull() & y.isNotNull()
-        value = F.try_divide(
-            F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-        )
-        value = F.nanvl(value, F.lit(None))
+        scale = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
+        value = F.nanvl(F.try_divide(F.covar_samp(x, y), scale), F.lit(None))
         return F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
-    found = df.agg(*[pearson(a, b).alias(name) for (a, b), name in pairs.items()])
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(spec.sensor_name(a)).alias("row"),
-                F.lit(spec.sensor_name(b)).alias("column"),
-                rounded(F.col(pairs.get((a, b)) or pairs[(b, a)]), digits).alias("correlation"),
-            )
-            for a in sensors
-            for b in sensors
-        ]
-    )
-    return found.select(F.inline(cells))
+    once = {name: pair for pair, name in _pairs(spec.sensors, "pearson").items()}
+    return [pearson(*pair).alias(name) for name, pair in once.items()]
 
 
-def correlation_matrix(df: DataFrame, spec: PanelSpec, digits: int | None = None) -> DataFrame:
+def correlation(
+    df: DataFrame, spec: PanelSpec, digits: int | None = 4, totals: DataFrame | None = None
+) -> DataFrame:
+    """Rows (row, column, correlation): Pearson over the rows where both are known.
+
+    A constant sensor gives NULL. Symmetric pairs are computed once.
+    """
+    found = totals if totals is not None else df.agg(*_correlation_measures(df, spec))
+    cells = [
+        F.struct(
+            F.lit(spec.sensor_name(a)).alias("row"),
+            F.lit(spec.sensor_name(b)).alias("column"),
+            rounded(F.col(name), digits).alias("correlation"),
+        )
+        for (a, b), name in _pairs(spec.sensors, "pearson").items()
+    ]
+    return found.select(F.inline(F.array(*cells)))
+
+
+def correlation_matrix(
+    df: DataFrame, spec: PanelSpec, digits: int | None = None, totals: DataFrame | None = None
+) -> DataFrame:
     """The correlations as one row per sensor and one column per sensor."""
     names = [spec.sensor_name(s) for s in spec.sensors]
-    return correlation(df, spec, digits).groupBy(F.col("row").alias("sensor")).pivot("column", names).agg(F.first("correlation"))
+    return correlation(df, spec, digits, totals).groupBy(F.col("row").alias("sensor")).pivot("column", names).agg(F.first("correlation"))
 
 
 # --- entities ------------------------------------------------------------------------
@@ -363,19 +382,24 @@ def monthly_pattern(df: DataFrame, spec: PanelSpec, digits: int | None = 3) -> D
 # --- labels --------------------------------------------------------------------------
 
 
-def label_balance(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    counted = df.agg(
-        F.count("*").alias("_total"),
-        *[F.struct(F.count_if(F.col(c) == 1).alias("pos"), F.count_if(F.col(c) == 0).alias("neg")).alias(c) for c in spec.labels],
-    )
+def _label_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
+    flags = [
+        F.struct(F.count_if(F.col(c) == 1).alias("pos"), F.count_if(F.col(c) == 0).alias("neg")).alias(f"label_{c}")
+        for c in spec.labels
+    ]
+    return [F.count("*").alias("all_rows"), *flags]
+
+
+def label_balance(df: DataFrame, spec: PanelSpec, totals: DataFrame | None = None) -> DataFrame:
+    counted = totals if totals is not None else df.agg(*_label_measures(df, spec))
 
     def row(label: str) -> dict[str, Column]:
-        rate = F.coalesce(F.try_divide(F.col(f"{label}.pos"), F.col("_total")), F.lit(0.0))
+        rate = F.coalesce(F.try_divide(F.col(f"label_{label}.pos"), F.col("all_rows")), F.lit(0.0))
         return {
             "target": F.lit(label),
             "display_name": F.lit(spec.label_name(label)),
-            "positive": F.col(f"{label}.pos"),
-            "negative": F.col(f"{label}.neg"),
+            "positive": F.col(f"label_{label}.pos"),
+            "negative": F.col(f"label_{label}.neg"),
             "positive_percentage": F.round(rate * 100, 8),
             "positive_per_10000": F.round(rate * 10_000, 4),
         }
@@ -414,56 +438,57 @@ def monthly_labels(df: DataFrame, spec: PanelSpec, rates: bool = True) -> DataFr
     )
 
 
-def cooccurrence(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Rows (row, column, count) of rows where both labels are 1; the diagonal is the positives."""
-    labels = list(spec.labels)
-    pairs = {(a, b): f"_c{i}_{j}" for i, a in enumerate(labels) for j, b in enumerate(labels) if i <= j}
-
+def _cooccurrence_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
     def positive(label: str) -> Column:
         return F.coalesce(_number(df, label).cast("int"), F.lit(0)) == 1
 
-    found = df.agg(*[F.count_if(positive(a) & positive(b)).alias(name) for (a, b), name in pairs.items()])
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(pairs.get((a, b)) or pairs[(b, a)]).alias("count"))
-            for a in labels
-            for b in labels
-        ]
-    )
-    return found.select(F.inline(cells))
+    once = {name: pair for pair, name in _pairs(spec.labels, "together").items()}
+    return [F.count_if(positive(a) & positive(b)).alias(name) for name, (a, b) in once.items()]
 
 
-def label_effects(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Per label and sensor: mean of positive and negative rows and their scaled difference."""
-    measures = []
-    for i, label in enumerate(spec.labels):
-        flag = F.col(label)
-        measures += [F.count_if(flag == 1).alias(f"_p{i}"), F.count_if(flag == 0).alias(f"_n{i}")]
-        for j, sensor in enumerate(spec.sensors):
-            value = _number(df, sensor)
-            measures += [
-                F.avg(F.when(flag == 1, value)).alias(f"_p{i}_{j}"),
-                F.avg(F.when(flag == 0, value)).alias(f"_n{i}_{j}"),
-            ]
-    measures += [F.stddev_samp(_number(df, s)).alias(f"_s{j}") for j, s in enumerate(spec.sensors)]
-
+def cooccurrence(df: DataFrame, spec: PanelSpec, totals: DataFrame | None = None) -> DataFrame:
+    """Rows (row, column, count) of rows where both labels are 1; the diagonal is the positives."""
+    found = totals if totals is not None else df.agg(*_cooccurrence_measures(df, spec))
     cells = [
+        F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(name).alias("count"))
+        for (a, b), name in _pairs(spec.labels, "together").items()
+    ]
+    return found.select(F.inline(F.array(*cells)))
+
+
+def _effect_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
+    return [
         F.struct(
-            F.lit(label).alias("target"),
-            F.lit(spec.label_name(label)).alias("display_name"),
-            F.col(f"_p{i}").alias("positive_count"),
-            F.col(f"_n{i}").alias("negative_count"),
-            F.lit(spec.sensor_name(sensor)).alias("sensor"),
-            rounded(F.col(f"_p{i}_{j}"), 3).alias("positive_mean"),
-            rounded(F.col(f"_n{i}_{j}"), 3).alias("negative_mean"),
-            rounded(F.try_divide(F.col(f"_p{i}_{j}") - F.col(f"_n{i}_{j}"), F.col(f"_s{j}")), 4).alias(
-                "standardized_difference"
-            ),
-        )
+            F.avg(F.when(F.col(label) == 1, _number(df, sensor))).alias("pos"),
+            F.avg(F.when(F.col(label) == 0, _number(df, sensor))).alias("neg"),
+        ).alias(f"effect_{i}_{j}")
         for i, label in enumerate(spec.labels)
         for j, sensor in enumerate(spec.sensors)
     ]
-    return df.agg(*measures).select(F.inline(F.array(*cells)))
+
+
+def label_effects(df: DataFrame, spec: PanelSpec, totals: DataFrame | None = None) -> DataFrame:
+    """Per label and sensor: mean of positive and negative rows and their scaled difference."""
+    if totals is None:
+        totals = df.agg(*_label_measures(df, spec), *_sensor_measures(df, spec), *_effect_measures(df, spec))
+    cells = []
+    for i, label in enumerate(spec.labels):
+        for j, sensor in enumerate(spec.sensors):
+            positive, negative = F.col(f"effect_{i}_{j}.pos"), F.col(f"effect_{i}_{j}.neg")
+            scaled = F.try_divide(positive - negative, F.col(f"sensor_{sensor}.std"))
+            cells.append(
+                F.struct(
+                    F.lit(label).alias("target"),
+                    F.lit(spec.label_name(label)).alias("display_name"),
+                    F.col(f"label_{label}.pos").alias("positive_count"),
+                    F.col(f"label_{label}.neg").alias("negative_count"),
+                    F.lit(spec.sensor_name(sensor)).alias("sensor"),
+                    rounded(positive, 3).alias("positive_mean"),
+                    rounded(negative, 3).alias("negative_mean"),
+                    rounded(scaled, 4).alias("standardized_difference"),
+                )
+            )
+    return totals.select(F.inline(F.array(*cells)))
 
 
 def positive_rate_floor(balance: DataFrame, floor: float = 1e-8) -> DataFrame:
@@ -496,32 +521,48 @@ def relationship_sample(
     )
 
 
-def missing_by_column(df: DataFrame, spec: PanelSpec, names: bool = False) -> DataFrame:
+def _missing_measures(df: DataFrame, spec: PanelSpec) -> list[Column]:
+    invalid = F.count_if(lenient_timestamp(df, spec.timestamp).isNull()).alias("invalid_times")
+    return [invalid, *[F.count_if(missing(df, c)).alias(f"missing_{c}") for c in (*spec.sensors, *spec.labels)]]
+
+
+def missing_by_column(df: DataFrame, spec: PanelSpec, totals: DataFrame | None = None) -> DataFrame:
     """Rows (column, missing) for sensors and labels."""
-    checked = [*spec.sensors, *spec.labels]
-    shown = {c: spec.sensor_name(c) if names else c for c in checked}
-    counts = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in checked])
-    rows = _rows_of(checked, lambda c: {"column": F.lit(shown[c]), "missing": F.col(c)})
+    counts = totals if totals is not None else df.agg(*_missing_measures(df, spec))
+    rows = _rows_of([*spec.sensors, *spec.labels], lambda c: {"column": F.lit(c), "missing": F.col(f"missing_{c}")})
     return counts.select(F.inline(rows))
 
 
-def data_quality(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def data_quality(df: DataFrame, spec: PanelSpec, totals: DataFrame | None = None) -> DataFrame:
     """One row: missing values in all and by column, repeated keys (every copy), bad timestamps."""
-    checked = [*spec.sensors, *spec.labels]
-    ts = lenient_timestamp(df, spec.timestamp)
-    counts = df.agg(
-        F.count_if(ts.isNull()).alias("_invalid"), *[F.count_if(missing(df, c)).alias(c) for c in checked]
-    )
+    counts = totals if totals is not None else df.agg(*_missing_measures(df, spec))
     total = F.lit(0).cast("long")
     entries = []
-    for column in checked:
-        total = total + F.col(column)
-        entries += [F.lit(spec.sensor_name(column)), F.col(column)]
+    for column in (*spec.sensors, *spec.labels):
+        total = total + F.col(f"missing_{column}")
+        entries += [F.lit(spec.sensor_name(column)), F.col(f"missing_{column}")]
     return counts.select(
         total.alias("missing_values"),
         F.create_map(*entries).alias("missing_by_column"),
         duplicate_keys(df, spec).select("members").scalar().alias("duplicate_timestamps"),
-        F.col("_invalid").alias("invalid_timestamps"),
+        F.col("invalid_times").alias("invalid_timestamps"),
+    )
+
+
+def table_totals(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """One row with every measure that the sections of a report need, from a single scan.
+
+    Pass it as ``totals`` to the functions above; it is a written row, not a plan to repeat.
+    """
+    return checkpoint(
+        df.agg(
+            *_sensor_measures(df, spec),
+            *_correlation_measures(df, spec),
+            *_label_measures(df, spec),
+            *_cooccurrence_measures(df, spec),
+            *_effect_measures(df, spec),
+            *_missing_measures(df, spec),
+        )
     )
 
 

@@ -18,7 +18,8 @@ from ..spec import PanelSpec
 class Exploration(Mapping[str, DataFrame]):
     """Sections of the exploratory payload, each planned when it is first asked for.
 
-    Sections share the entity sizes, the sampling interval and the quartiles. The table
+    Sections share the entity sizes, the sampling interval, the quartiles and one scan for
+    all whole-table measures. The table
     should be a written or cached one, as every section reads its columns from it.
     """
 
@@ -37,6 +38,10 @@ class Exploration(Mapping[str, DataFrame]):
     def _sampling(self) -> DataFrame:
         return P.sampling_interval(self._df, self._spec, self._skew)
 
+    @cached_property
+    def _totals(self) -> DataFrame:
+        return P.table_totals(self._df, self._spec)
+
     @cached_property
     def _quartiles(self) -> DataFrame:
         return P.sensor_quartiles(self._df, self._spec, self._skew.rows)
@@ -46,21 +51,21 @@ class Exploration(Mapping[str, DataFrame]):
         df, spec = self._df, self._spec
         return {
             "summary": lambda: P.summary(df, spec, self._sampling),
-            "sensor_statistics": lambda: P.sensor_statistics(df, spec, quartiles=self._quartiles),
+            "sensor_statistics": lambda: P.sensor_statistics(df, spec, quartiles=self._quartiles, totals=self._totals),
             "outlier_analysis": lambda: P.outlier_analysis(df, spec, quartiles=self._quartiles),
             "hive_stats": lambda: P.entity_coverage(df, spec, self._sampling),
             "hourly_patterns": lambda: P.hourly_pattern(df, spec),
             "weekday_patterns": lambda: P.weekday_pattern(df, spec),
             "monthly_patterns": lambda: P.monthly_pattern(df, spec),
-            "sensor_histograms": lambda: P.histogram(df, spec, self._bins),
-            "target_balance": lambda: P.label_balance(df, spec),
+            "sensor_histograms": lambda: P.histogram(df, spec, self._bins, totals=self._totals),
+            "target_balance": lambda: P.label_balance(df, spec, totals=self._totals),
             "target_by_hive": lambda: P.label_by_entity(df, spec),
             "monthly_target_counts": lambda: P.monthly_labels(df, spec),
-            "target_cooccurrence": lambda: P.cooccurrence(df, spec),
-            "target_sensor_effects": lambda: P.label_effects(df, spec),
+            "target_cooccurrence": lambda: P.cooccurrence(df, spec, totals=self._totals),
+            "target_sensor_effects": lambda: P.label_effects(df, spec, totals=self._totals),
             "relationship_sample": lambda: P.relationship_sample(df, spec, self._sample),
-            "correlation": lambda: P.correlation(df, spec),
-            "data_quality": lambda: P.data_quality(df, spec),
+            "correlation": lambda: P.correlation(df, spec, totals=self._totals),
+            "data_quality": lambda: P.data_quality(df, spec, totals=self._totals),
         }
 
     def __getitem__(self, section: str) -> DataFrame:
@@ -92,8 +97,9 @@ def write_sections(sections: Mapping[str, DataFrame], path: str) -> None:
 def report_tables(df: DataFrame, spec: PanelSpec, rows: int | None = None) -> dict[str, DataFrame]:
     """The unrounded report tables, in the order they are written."""
     quartiles = P.sensor_quartiles(df, spec, rows)
+    totals = P.table_totals(df, spec)
     plain = replace(spec, sensor_names={})
-    described = P.sensor_statistics(df, plain, digits=None, quartiles=quartiles)
+    described = P.sensor_statistics(df, plain, digits=None, quartiles=quartiles, totals=totals)
     return {
         "sensor_summary": described.select(
             "sensor",
@@ -106,9 +112,9 @@ def report_tables(df: DataFrame, spec: PanelSpec, rows: int | None = None) -> di
             F.col("q3").alias("75%"),
             "max",
         ),
-        "missing_values": P.missing_by_column(df, spec),
+        "missing_values": P.missing_by_column(df, spec, totals),
         "hive_coverage": P.entity_rows(df, spec).orderBy(spec.entity),
-        "sensor_correlation": P.correlation_matrix(df, plain),
+        "sensor_correlation": P.correlation_matrix(df, plain, totals=totals),
         "hourly_patterns": P.hourly_pattern(df, plain, None).orderBy("hour"),
         "weekday_patterns": P.weekday_pattern(df, plain, None).drop("day_index").withColumnRenamed("day", "weekday").orderBy("weekday"),
         "monthly_patterns": P.monthly_pattern(df, plain, None).orderBy("month"),

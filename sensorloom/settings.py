@@ -12,7 +12,7 @@ MAX_GROUP_ROWS = "spark.sensorloom.maxGroupRows"
 MAX_DISTINCT = "spark.sensorloom.maxDistinct"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 DEFAULT_MAX_DISTINCT = 1_000_000
-MAX_LISTED_GROUPS = 4_096
+MAX_LISTED_GROUPS = 65_536
 
 
 def build_session(app: str = "sensorloom", master: str | None = None, **options: str) -> SparkSession:

@@ -210,6 +210,27 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     assert len(found) > 250
 
 
+def test_sections_from_one_scan_equal_the_single_functions(spark, df):
+    sections = eda(df, SPEC, bins=12, sample=40)
+    single = {
+        "summary": profile.summary(df, SPEC),
+        "sensor_statistics": profile.sensor_statistics(df, SPEC),
+        "outlier_analysis": profile.outlier_analysis(df, SPEC),
+        "hive_stats": profile.entity_coverage(df, SPEC),
+        "sensor_histograms": profile.histogram(df, SPEC, 12),
+        "target_balance": profile.label_balance(df, SPEC),
+        "target_cooccurrence": profile.cooccurrence(df, SPEC),
+        "target_sensor_effects": profile.label_effects(df, SPEC),
+        "relationship_sample": profile.relationship_sample(df, SPEC, 40),
+        "correlation": profile.correlation(df, SPEC),
+        "data_quality": profile.data_quality(df, SPEC),
+    }
+    for name, frame in single.items():
+        assert sorted(map(str, sections[name].collect())) == sorted(map(str, frame.collect())), name
+    for name in set(sections) - set(single):
+        assert sections[name].count() > 0
+
+
 # --- plans ---------------------------------------------------------------------------
 
 
