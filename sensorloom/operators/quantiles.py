@@ -63,7 +63,8 @@ def column_quantiles(
     listed = df.sparkSession.createDataFrame(
         list(zip(names, columns, strict=True)), "column string, name string"
     )
-    return F.broadcast(listed).join(found, "column", "left").select(
+    # One row per column on both sides.
+    return listed.join(F.broadcast(found), "column", "left").select(
         F.col("name").alias("column"), F.coalesce("count", F.lit(0)).alias("count"), "quantiles"
     )
 
