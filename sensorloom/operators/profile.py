@@ -100,7 +100,8 @@ def summary(
         iso_text(F.col("first")).alias("analysis_start"),
         iso_text(F.col("last")).alias("analysis_end"),
         F.round(seconds / SECONDS_PER_DAY, 2).alias("duration_days"),
-        sampling_label(sampling.select("seconds").scalar()).alias("sampling_frequency"),
+        # The label is made from the one sampling row, so its plan appears once.
+        sampling.select(sampling_label(F.col("seconds"))).scalar().alias("sampling_frequency"),
     )
 
 
