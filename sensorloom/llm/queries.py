@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, exact, quality
+from . import bpe, chat, exact, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -20,6 +20,39 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_chat_format(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text")
+    )
+    read = chat.read_chats(chat.format_chats(turns.unionByName(extra)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length(F.array_join("loss_texts", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("loss_texts", ""), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op1_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + (length(text) - length(replace(text, '<|', '|'))) AS escaped,
+             coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role, false) AS follows FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(escaped + CASE WHEN follows THEN 10 ELSE 12 + length(role) + 1 + 11 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 @query
 def op2_quality_rules(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"))
