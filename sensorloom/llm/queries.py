@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, quality
+from . import bpe, chat, exact, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -81,8 +81,7 @@ SELECT *, NOT ((failed & 235) <> 0 OR bit_count(failed & 20) >= 2) AS kept, (fai
 
 @query
 def op3_bpe(spark, folder):
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    both = bpe.decode(encoded)
+    both = bpe.encode_decode(table(spark, folder, "documents").select("doc_id", "text"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -91,6 +90,11 @@ def op3_bpe(spark, folder):
     )
 
 
+@query
+def op4_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 @query
 def op6_exact_dedup(spark, folder):
     return exact.exact_dedup(table(spark, folder, "documents"))
