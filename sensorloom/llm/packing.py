@@ -135,42 +135,38 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), pattern
 
 
-def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns to start from: lengths that fill a sequence in pairs, and one length repeated."""
-    n = len(lengths)
+def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns to start from, with their inverse: one length repeated, or two lengths that fill a
+    sequence together (that pattern takes the column of the rarer one)."""
+    basis = np.diag((capacity // lengths).astype(float))
+    inverse = np.diag(1 / (capacity // lengths))
     place = {int(length): i for i, length in enumerate(lengths)}
-    basis = np.zeros((n, n))
-    done = set()
     for i, length in enumerate(lengths.tolist()):
-        if i in done:
-            continue
         j = place.get(capacity - length)
-        basis[i, i] = capacity // length
-        done.add(i)
-        if j is not None and j != i:
+        if j is not None and i < j:
             more, less = (i, j) if demand[i] >= demand[j] else (j, i)
-            basis[:, [i, j]] = 0
-            basis[more, more] = capacity // lengths[more]
-            basis[[i, j], less] = 1
-            done.add(j)
-    return basis
+            basis[[more, less], less] = 1
+            inverse[less, less] = 1
+            inverse[more, less] = -inverse[more, more]
+    return basis, inverse
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Without the threads of a linear algebra library, which the driver may share with much else."""
+    return np.einsum("ij,j->i", matrix, vector)
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used, not yet whole numbers."""
-    basis = _first_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    full = float(lengths @ demand) / capacity
-    for step in range(MAX_COLUMNS):
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        used = inverse @ demand
-        prices = inverse.sum(axis=0)
-        value, pattern = best_pattern(lengths, prices, capacity)
+    basis, inverse = _first_basis(lengths, demand, capacity)
+    full = float((lengths * demand).sum()) / capacity
+    used = _times(inverse, demand)
+    for _ in range(MAX_COLUMNS):
+        value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
         # Two bounds from below: sequences without any padding, and the priced one.
         if used.sum() <= (1 + GAP) * max(full, used.sum() / value):
             break
-        direction = inverse @ pattern
+        direction = _times(inverse, pattern)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(direction > 1e-9, np.maximum(used, 0) / direction, np.inf)
         leaves = int(ratio.argmin())
@@ -178,9 +174,10 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
             break
         basis[:, leaves] = pattern
         row = inverse[leaves] / direction[leaves]
-        inverse -= np.outer(direction, row)
+        inverse -= np.multiply.outer(direction, row)
         inverse[leaves] = row
-    return basis, np.maximum(np.linalg.solve(basis, demand), 0)
+        used = _times(inverse, demand)
+    return basis, np.maximum(used, 0)
 
 
 def _best_fit(left: Counter[int], capacity: int) -> list[dict[int, int]]:
