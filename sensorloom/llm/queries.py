@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, packing, quality
+from . import bpe, chat, exact, minhash, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -105,3 +105,22 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op9_minhash(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
+ORACLE["op9_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) < 2 THEN [array_to_string(words, ' ')]
+             ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS grams FROM w WHERE len(words) > 0),
+g AS MATERIALIZED (SELECT doc_id, unnest(grams) AS gram FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.grams) + len(y.grams) - n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, coalesce(len(s.grams), 0) AS n_shingles, min(reach.b) AS component_id, w.doc_id = min(reach.b) AS kept
+FROM w LEFT JOIN s USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY 1, 2
+"""
