@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, minhash, packing, quality
+from . import bpe, chat, exact, lines, minhash, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -124,3 +124,28 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b F
 SELECT w.doc_id, coalesce(len(s.grams), 0) AS n_shingles, min(reach.b) AS component_id, w.doc_id = min(reach.b) AS kept
 FROM w LEFT JOIN s USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY 1, 2
 """
+
+
+@query
+def op8_line_dedup(spark, folder):
+    return lines.line_report(table(spark, folder, "documents"))
+
+
+ORACLE["op8_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+b AS (SELECT line, min((doc_id, place)) AS first FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^\x20\x09-\x0D]')
+      GROUP BY line HAVING count(DISTINCT source) >= 5),
+k AS (SELECT l.*, b.line IS NOT NULL AND b.first <> (doc_id, place) AS gone FROM l LEFT JOIN b USING (line)),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS left_text FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(left_text) AS left_chars, sha256(left_text) AS left_sha256 FROM r
+"""
+
+
+@query
+def op10_toxicity(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = toxicity.learn(documents, table(spark, folder, "labels"))
+    scored = toxicity.toxic_passages(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
