@@ -25,11 +25,13 @@ from .rows import fields, importable, per_text
 # their id), which are broadcast with their labels; the weights kept are the clearest ones.
 MAX_LABELLED = 20_000
 MAX_WEIGHTS = 20_000
-PRIOR = 500.0
-CLEAR = 3.5
+# The prior: so many texts with the corpus's token shares, and half a text for every token, so that
+# a token never seen in clean texts has a finite spread.
+PRIOR, FLOOR = 500.0, 0.5
+CLEAR = 3.0
 DRIFT = 0.05
 SIGNIFICANT = 0.05
-EDGES = ".,;:!?\"'()[]*_"
+EDGES = ".,;:!?\"'()[]*_#$%&|<>"
 KEPT_TOKENS = 500_000
 
 
@@ -122,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     n_toxic, n_clean = (float(x or 0) for x in totals)
     if not n_toxic or not n_clean:
         return ToxicModel({}, 1.0)
-    prior = PRIOR * (F.col("t") + F.col("c")) / (n_toxic + n_clean)
+    prior = PRIOR * (F.col("t") + F.col("c")) / (n_toxic + n_clean) + FLOOR
     odds = lambda n, of: F.log((F.col(n) + prior) / (of + PRIOR - F.col(n) - prior))
     weighed = counts.withColumn("weight", odds("t", n_toxic) - odds("c", n_clean)).withColumn("spread", F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
     rare = (F.col("c") + prior) / (n_clean + PRIOR)
