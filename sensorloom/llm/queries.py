@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, lines, minhash, packing, quality, toxicity
+from . import bpe, chat, exact, lines, minhash, packing, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -149,3 +149,18 @@ def op10_toxicity(spark, folder):
     model = toxicity.learn(documents, table(spark, folder, "labels"))
     scored = toxicity.toxic_passages(documents, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_secret_scan(spark, folder):
+    documents = table(spark, folder, "documents")
+    found = secret_scan.scan(documents.select("doc_id", "text"), secret_scan.learn(documents))
+    spans = F.col("secrets.spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in secret_scan.KINDS],
+        F.sha2(listed(F.filter(spans, lambda s: s["kind"] != "learned")), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
