@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, lines, minhash, packing, quality, secret_scan, toxicity
+from . import bpe, chat, exact, lines, minhash, packing, quality, secret_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -95,6 +95,51 @@ def op4_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def crawls(spark, folder):
+    """Two crawls of the pages: full responses, then a revisit of each under another spelling of its
+    URL. Some revisits carry a date instead of a tag, some a tag that has changed."""
+    pages = table(spark, folder, "pages")
+    tag, dated, changed = F.md5("html"), F.col("page_id") % 5 == 0, F.col("page_id") % 11 == 0
+    date = F.concat(F.lit("day "), (F.col("page_id") % 1000).cast("string"))
+    full = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("at"), F.lit(200).alias("status"), tag.alias("etag"), date.alias("last_modified"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.char_length("html").cast("string"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("x-crawl"), F.lit("1")).alias("headers"),
+        F.sha2("html", 256).alias("body_sha256"),
+    )
+    spelled = F.concat(F.upper(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)), F.regexp_replace("url", "^[^/]*//[^/?#]*", ""), F.lit("#again"))
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), spelled.alias("url"), (F.col("page_id") + 1_000_000_000_000).alias("at"), F.lit(304).alias("status"),
+        F.when(~dated, F.concat(F.lit("W/"), tag, F.when(changed, "x").otherwise(""))).alias("etag"), date.alias("last_modified"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("no-cache"), F.lit("age"), (F.col("page_id") % 7).cast("string")).alias("headers"),
+        F.lit(None).cast("string").alias("body_sha256"),
+    )
+    return full.unionByName(revisit)
+
+
+@query
+def op5_warc_revisits(spark, folder):
+    found = warc.resolve_revisits(crawls(spark, folder))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.withColumn("headers", F.when(F.col("resolved"), F.array_join(entries, ";")))
+
+
+ORACLE["op5_warc_revisits"] = r"""
+WITH p AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+q AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]|:(80|443)$', '', 'g') AS host, regexp_extract(bare, '^[^/?]*(/[^?]*)', 1) AS path,
+             list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|utm_[a-z]+|fbclid|gclid)(=|$)'))) AS args FROM p),
+c AS (SELECT page_id, html, host || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN len(args) = 0 THEN '' ELSE '?' || array_to_string(args, '&') END) AS k FROM q),
+latest AS (SELECT k, max(page_id) AS page_id, max_by(html, page_id) AS html FROM c GROUP BY k),
+j AS (SELECT c.page_id, c.k, l.page_id AS old, l.html,
+             CASE WHEN c.page_id % 5 = 0 THEN c.page_id % 1000 = l.page_id % 1000 ELSE md5(c.html) || (CASE WHEN c.page_id % 11 = 0 THEN 'x' ELSE '' END) = md5(l.html) END AS ok
+      FROM c JOIN latest l USING (k))
+SELECT page_id * 2 + 1 AS record_id, k AS canonical_url, CASE WHEN ok THEN old * 2 END AS original_id, ok AS resolved,
+       CASE WHEN ok THEN 'matched' ELSE 'changed' END AS reason, CASE WHEN ok THEN sha256(html) END AS body_sha256,
+       CASE WHEN ok THEN 'age=' || (page_id % 7) || ';cache-control=no-cache;content-length=' || length(html) || ';content-type=text/html;x-crawl=1' END AS headers
+FROM j
+"""
+
+
 @query
 def op6_exact_dedup(spark, folder):
     return exact.exact_dedup(table(spark, folder, "documents"))
