@@ -47,6 +47,11 @@ def iso(column: str) -> str:
     )
 
 
+def tidy(value: str, digits: int) -> str:
+    """Rounded from nine decimals: the last bit of a mean depends on the order of its rows."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
+
+
 def union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -58,6 +63,8 @@ Q = QUERIES
 Q["csv_scan"] = f"""WITH {RAW}
 SELECT CAST(entity AS VARCHAR) AS entity, ts, {", ".join(f"CAST({s} AS FLOAT) AS {s}" for s in SENSORS)},
        t1, t2, t3, t4 FROM panel_raw"""
+Q["csv_quoted_scan"] = """
+SELECT doc_id, md5('He said "' || text || '", a line' || chr(10) || 'and more') AS quoted_md5, md5(text) AS text_md5, source FROM documents"""
 Q["parquet_scan"] = f"WITH {RAW} SELECT entity, ts, s1 FROM panel_raw"
 Q["file_order_keep_last"] = f"WITH {PANEL} SELECT entity, ts, s1, s2 FROM panel"
 
@@ -71,7 +78,7 @@ SELECT count(*) AS rows, count(DISTINCT entity) AS entities,
        count(*) FILTER (s3 < CAST(0.01 AS DOUBLE) OR s3 > CAST(0.09 AS DOUBLE)) AS outside_s3,
        count(*) FILTER (s4 < 0 OR s4 > CAST(0.07 AS DOUBLE)) AS outside_s4,
        1 AS invalid_labels,
-       (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT a2 AS v FROM panel_raw WHERE a2 NOT IN (0, 1))) AS invalid_a2,
+       count(DISTINCT a2) FILTER (a2 NOT IN (0, 1)) AS invalid_a2_values, count(*) FILTER (a2 NOT IN (0, 1)) AS invalid_a2_rows,
        strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS timestamp_start,
        strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS timestamp_end
 FROM panel_raw"""
@@ -80,6 +87,9 @@ SELECT 's1' AS sensor, count(*) AS out_of_bounds FROM panel_raw WHERE s1 NOT BET
 UNION ALL SELECT 's2', count(*) FROM panel_raw WHERE s2 NOT BETWEEN 2000 AND 90000
 UNION ALL SELECT 's3', count(*) FROM panel_raw WHERE s3 NOT BETWEEN CAST(0.01 AS DOUBLE) AND CAST(0.09 AS DOUBLE)
 UNION ALL SELECT 's4', count(*) FROM panel_raw WHERE s4 NOT BETWEEN 0 AND CAST(0.07 AS DOUBLE)"""
+Q["validation_report_many_invalid"] = f"WITH {RAW}\n" + union(
+    [f"SELECT '{c}' AS label, count(DISTINCT {c}) AS distinct_values, count(*) AS rows FROM panel_raw WHERE {c} NOT IN (0, 1)" for c in ("a2", "a3")]
+)
 Q["binary_domain_check"] = f"""WITH {RAW}
 SELECT 'a2' AS label, CAST(a2 AS DOUBLE) AS value, count(*) AS rows FROM panel_raw WHERE a2 NOT IN (0, 1) GROUP BY a2"""
 Q["missing_required"] = "WITH " + RAW_HOLES + "\n" + union(
@@ -222,7 +232,7 @@ def _statistics(source: str, digits: int, names: dict[str, str]) -> str:
             "mean": f"avg({s})", "std": f"stddev_samp({s})", "min": f"min({s})", "q1": f"quantile_cont({s}, 0.25)",
             "median": f"quantile_cont({s}, 0.5)", "q3": f"quantile_cont({s}, 0.75)", "max": f"max({s})",
         }
-        cells = ", ".join(f"round({v}, {digits}) AS {names.get(n, n)}" for n, v in values.items())
+        cells = ", ".join(f"{tidy(v, digits)} AS {names.get(n, n)}" for n, v in values.items())
         parts.append(f"SELECT '{s}' AS sensor, count({s}) AS count, {cells} FROM panel")
     return f"WITH {source}\n" + union(parts)
 
@@ -260,7 +270,7 @@ Q["sensor_histogram_report"] = _histogram(LIVE, "live", ("value", "k"), 50)
 
 
 def _corr(a: str, b: str) -> str:
-    return f"round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 4)"
+    return tidy(f"(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END)", 4)
 
 
 Q["sensor_correlation"] = f"WITH {HOLES}\n" + union(
@@ -285,7 +295,7 @@ Q["entity_rows"] = f"WITH {PANEL} SELECT entity, count(*) AS rows, min(ts) AS st
 
 
 def _means(sensors: tuple[str, ...]) -> str:
-    return ", ".join(f"round(avg({s}), 3) AS {s}" for s in sensors)
+    return ", ".join(f"{tidy(f'avg({s})', 3)} AS {s}" for s in sensors)
 
 
 Q["hourly_pattern"] = f"WITH {LIVE} SELECT CAST(hour(ts) AS INTEGER) AS hour, {_means(('value', 'k'))} FROM live GROUP BY 1"
@@ -326,8 +336,8 @@ Q["cooccurrence_strength"] = _PAIRS + "\nSELECT *, round(count / (SELECT max(cou
 Q["label_effects"] = f"WITH {PANEL}\n" + union(
     [
         f"""SELECT '{c}' AS target, '{c}' AS display_name, count(*) FILTER ({c} = 1) AS positive_count, count(*) FILTER ({c} = 0) AS negative_count,
-  '{s}' AS sensor, round(avg({s}) FILTER ({c} = 1), 3) AS positive_mean, round(avg({s}) FILTER ({c} = 0), 3) AS negative_mean,
-  round((avg({s}) FILTER ({c} = 1) - avg({s}) FILTER ({c} = 0)) / stddev_samp({s}), 4) AS standardized_difference FROM panel"""
+  '{s}' AS sensor, {tidy(f"avg({s}) FILTER ({c} = 1)", 3)} AS positive_mean, {tidy(f"avg({s}) FILTER ({c} = 0)", 3)} AS negative_mean,
+  {tidy(f"((avg({s}) FILTER ({c} = 1) - avg({s}) FILTER ({c} = 0)) / stddev_samp({s}))", 4)} AS standardized_difference FROM panel"""
         for c in LABELS
         for s in SENSORS
     ]
@@ -376,8 +386,9 @@ SELECT * FROM hourly WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseco
 Q["live_feature_set"] = f"""WITH {LIVE}, daily AS (
 SELECT entity, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, median(value) AS value, median(k) AS k FROM live GROUP BY 1, 2)
 SELECT CAST(entity AS VARCHAR) AS entity, ts, round(value, 3) AS value, k,
-       round(CAST(CAST(lag(value) OVER w AS FLOAT) AS DOUBLE), 3) AS value_lag_1h, round(k - lag(k) OVER w, 3) AS k_change_1h
-FROM daily WINDOW w AS (PARTITION BY entity ORDER BY ts)"""
+       round(CAST(CAST(lag(value) OVER w AS FLOAT) AS DOUBLE), 3) AS value_lag_1h, round(k - lag(k) OVER w, 3) AS k_change_1h,
+       CASE WHEN count(k) OVER r = 3 THEN round(CAST(CAST(avg(k) OVER r AS FLOAT) AS DOUBLE), 3) END AS k_roll_mean_3h
+FROM daily WINDOW w AS (PARTITION BY entity ORDER BY ts), r AS (PARTITION BY entity ORDER BY ts ROWS 2 PRECEDING)"""
 
 # --- views and contracts -------------------------------------------------------------
 Q["ranked_entities"] = f"WITH {PANEL} SELECT entity, CAST(sum(t3) AS BIGINT) AS count FROM panel GROUP BY entity ORDER BY 2 DESC, CAST(entity AS VARCHAR)"
@@ -391,7 +402,8 @@ Q["training_rows"] = _split("entity, ts", "0.7", _BOTH, 24) + f""",
 featured AS (
   SELECT entity, ts, round(CAST(CAST(lag(s1, 1) OVER w AS FLOAT) AS DOUBLE), 3) AS s1_lag_1h,
          round(CAST(CAST(s1 - lag(s1, 6) OVER w AS FLOAT) AS DOUBLE), 3) AS s1_change_6h,
+         CASE WHEN count(s1) OVER r = 6 THEN round(CAST(CAST(avg(s1) OVER r AS FLOAT) AS DOUBLE), 3) END AS s1_roll_mean_6h,
          CAST(CASE WHEN count(t3) OVER f = 24 THEN max(t3) OVER f END AS FLOAT) AS event
-  FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts),
+  FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts), r AS (PARTITION BY entity ORDER BY ts ROWS 5 PRECEDING),
        f AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING))
-SELECT entity, ts, split, s1_lag_1h, s1_change_6h, event FROM featured JOIN manifest USING (entity, ts) WHERE NOT is_boundary_gap"""
+SELECT entity, ts, split, s1_lag_1h, s1_change_6h, s1_roll_mean_6h, event FROM featured JOIN manifest USING (entity, ts) WHERE NOT is_boundary_gap"""

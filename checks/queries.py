@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
@@ -48,6 +48,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def scratch(spark: SparkSession, folder: str, name: str) -> str:
+    """A folder for what a query writes; the next run over the same tables writes there again."""
+    return f"{shared_folder(spark)}/{name}-{zlib.crc32(str(folder).encode()):08x}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def small_groups(spark: SparkSession, rows: int = 200, distinct: int = 40) -> Iterator[None]:
     """Lower the group bounds, so that the plan for over-long entities is used on them all."""
@@ -83,15 +93,25 @@ FEATURE_DIGITS = {"_change_": 6, "_roll_mean_": 5, "_roll_std_": 3}
 
 @query
 def csv_scan(spark, folder):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    path = f"{scratch(spark, folder, 'csv_scan')}.csv"
     write_csv_report(panel_raw(spark, folder), path, one_file=False)
     read = read_panel(spark, path)
     return canonical_types(read, PANEL).select("entity", "ts", *PANEL.sensors, *PANEL.labels)
 
 
+@query
+def csv_quoted_scan(spark, folder):
+    """Texts with quotes, commas and line breaks, written as CSV and read back."""
+    path = f"{scratch(spark, folder, 'csv_quoted')}.csv"
+    quoted = F.concat(F.lit('He said "'), F.col("text"), F.lit('", a line\nand more'))
+    write_csv_report(table(spark, folder, "documents").select("doc_id", quoted.alias("quoted"), "text", "source"), path, one_file=False)
+    read = read_panel(spark, path, arrival=False, multiline=True)
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("quoted").alias("quoted_md5"), F.md5("text").alias("text_md5"), "source")
+
+
 @query
 def parquet_scan(spark, folder):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{scratch(spark, folder, 'parquet_scan')}.parquet"
     write_panel(panel_raw(spark, folder), path)
     return read_panel(spark, path, arrival=False).select("entity", "ts", "s1")
 
@@ -99,7 +119,7 @@ def parquet_scan(spark, folder):
 @query
 def file_order_keep_last(spark, folder):
     """Keep-last by place in the file: the written rows are in arrival order."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{scratch(spark, folder, 'file_order')}.parquet"
     write_panel(panel_raw(spark, folder).orderBy(*PANEL.arrival, "entity", "ts"), path)
     kept = keep_last(read_panel(spark, path), PANEL.with_arrival("_arrival"))
     return kept.select("entity", "ts", "s1", "s2")
@@ -118,12 +138,22 @@ def validation_counts(spark, folder):
         *[F.col("missing_by_column")[c].alias(f"missing_{c}") for c in CHECKED.required],
         *[F.col("out_of_sanity_bounds")[s].alias(f"outside_{s}") for s in CHECKED.sensors],
         F.size("invalid_binary_values").alias("invalid_labels"),
-        F.array_join(F.transform(F.col("invalid_binary_values")["a2"], lambda v: v.cast("int").cast("string")), ",").alias("invalid_a2"),
+        F.col("invalid_binary_values")["a2"]["distinct_values"].alias("invalid_a2_values"),
+        F.col("invalid_binary_values")["a2"]["rows"].alias("invalid_a2_rows"),
         "timestamp_start",
         "timestamp_end",
     )
 
 
+@query
+def validation_report_many_invalid(spark, folder):
+    """A label with more invalid values than any bound for groups (here lowered as well)."""
+    spec = replace(PANEL, labels=("t1", "a2", "a3"))
+    with small_groups(spark, distinct=3):
+        report = validation_report(panel_raw(spark, folder), spec)
+    return report.select(F.explode("invalid_binary_values").alias("label", "found")).select("label", "found.distinct_values", "found.rows")
+
+
 @query
 def bounds_check(spark, folder):
     return bounds_counts(panel_raw(spark, folder), PANEL)
@@ -499,7 +529,8 @@ def resample_daily_crowded_windows(spark, folder):
 @query
 def resample_stream(spark, folder):
     """The same resampling as a stream over the events file; open windows are not emitted."""
-    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = scratch(spark, folder, "resample_stream")
+    remove(spark, base)  # a stream goes on from the state it finds
     schema = table(spark, folder, "events").schema
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
@@ -515,8 +546,8 @@ def live_feature_set(spark, folder):
     raw = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
     config = PipelineConfig(spec=LIVE, frequency="1d", lags=(1,), changes=(1,), windows=(3,), statistics=("mean",))
     found = live_features(raw.select("user_id", "ts", "value", "k"), {"user_id": "entity"}, config)
-    names = ["entity", "ts", "value", "k", "value_lag_1h", "k_change_1h"]
-    return rounded(found.select(*names).withColumn("ts", F.col("ts").cast("timestamp_ntz")), {"value": 3, "k_change": 3})
+    names = ["entity", "ts", "value", "k", "value_lag_1h", "k_change_1h", "k_roll_mean_3h"]
+    return rounded(found.select(*names).withColumn("ts", F.col("ts").cast("timestamp_ntz")), {"value": 3, "k_": 3})
 
 
 # --- views and contracts -------------------------------------------------------------
@@ -586,13 +617,13 @@ def training_rows(spark, folder):
     config = PipelineConfig(spec=PANEL, lags=(1,), changes=(6,), windows=(6,), statistics=("mean",))
     manifest = chronological_split(frame, PANEL, gap_rows=24, skew=sizes(spark, folder))
     found = training_table(frame, manifest, config, target="t3", horizon=24, output="event", skew=sizes(spark, folder))
-    return rounded(found.select("entity", "ts", "split", "s1_lag_1h", "s1_change_6h", "event"), {"s1_": 3})
+    return rounded(found.select("entity", "ts", "split", "s1_lag_1h", "s1_change_6h", "s1_roll_mean_6h", "event"), {"s1_": 3})
 
 
 @query
 def pipeline_manifest(spark, folder):
     """The whole pipeline from a Parquet source; its manifest joined with its clean table."""
-    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = scratch(spark, folder, "pipeline")
     write_panel(panel_raw(spark, folder).orderBy(*PANEL.arrival, "entity", "ts"), f"{base}/raw.parquet")
     config = PipelineConfig(spec=PANEL.with_arrival("_arrival"), gap_rows=24)
     paths = run_pipeline(spark, f"{base}/raw.parquet", base, config)

@@ -40,10 +40,20 @@ BALANCE_ALIASES = {
 SECTION_ALIASES = {"hive_stats": ("hive_stats", "hive_coverage"), "correlation": ("correlation", "sensor_correlation")}
 
 
-def _first_known(present: Mapping[str, Column], names: Sequence[str], default: object = None) -> Column:
+# Types of contract columns, for those that a table has under no alias.
+COLUMN_TYPES = {
+    "total_records": "bigint", "total_hives": "bigint", "analysis_start": "string", "analysis_end": "string",
+    "duration_days": "double", "sampling_frequency": "string", "hive": "string", "records": "bigint",
+    "coverage_percentage": "double", "display_name": "string", "positive": "bigint", "negative": "bigint",
+    "positive_percentage": "double", "positive_per_10000": "double", "sensor": "string", "count": "bigint",
+}
+
+
+def _first_known(present: Mapping[str, Column], names: Sequence[str], default: object = None, kind: str = "double") -> Column:
     found = [present[name] for name in names if name in present]
-    fallback = [] if default is None and found else [F.lit(default)]
-    return F.coalesce(*found, *fallback)
+    if found:
+        return F.coalesce(*found, *([] if default is None else [F.lit(default)]))
+    return F.lit(default).cast(kind) if default is None or kind != "double" else F.lit(default)
 
 
 def resolve_aliases(
@@ -55,7 +65,9 @@ def resolve_aliases(
     """
     present = {name: F.col(f"`{name}`") for name in df.columns}
     values = dict(defaults or {})
-    return df.withColumns({name: _first_known(present, names, values.get(name)) for name, names in aliases.items()})
+    return df.withColumns(
+        {name: _first_known(present, names, values.get(name), COLUMN_TYPES.get(name, "double")) for name, names in aliases.items()}
+    )
 
 
 def label_balance_rows(df: DataFrame, column: str) -> DataFrame:
@@ -68,7 +80,7 @@ def label_balance_rows(df: DataFrame, column: str) -> DataFrame:
         return entries.select("target", F.col("value").alias("positive"), F.lit(0).alias("negative"))
     present = {name: F.col(f"value.`{name}`") for name in kind.valueType.names}
     defaults = {"positive": 0, "negative": 0}
-    resolved = {name: _first_known(present, names, defaults.get(name)) for name, names in BALANCE_ALIASES.items()}
+    resolved = {name: _first_known(present, names, defaults.get(name), COLUMN_TYPES[name]) for name, names in BALANCE_ALIASES.items()}
     resolved["display_name"] = F.coalesce(resolved["display_name"], F.col("target"))
     return entries.select("target", *[value.alias(name) for name, value in resolved.items()])
 

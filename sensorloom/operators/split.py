@@ -79,7 +79,7 @@ def join_manifest(df: DataFrame, manifest: DataFrame, spec: PanelSpec, check: bo
         worst = copies.agg(F.max("l").alias("l"), F.max("r").alias("r")).first()
         for side, name in (("l", "table"), ("r", "manifest")):
             if (worst[side] or 0) > 1:
-                raise ValueError(f"Keys are not unique in the {name}; the join is not one-to-one.")
+                raise ValueError(f"The {name} holds a key more than once.")
     extra = [name for name in manifest.columns if name not in spec.keys]
     left, right = df.alias("table"), manifest.alias("manifest")
     same = F.lit(True)
@@ -94,6 +94,6 @@ def drop_boundary_gap(df: DataFrame) -> DataFrame:
     A row without a manifest entry fails the job; a plain filter would drop it silently.
     """
     if GAP not in df.columns:
-        raise ValueError("Join the split manifest before removing boundary rows.")
-    unmatched = F.raise_error(F.lit("A row has no split manifest entry.")).cast("boolean")
+        raise ValueError(f"No column {GAP}: the table has no splits yet.")
+    unmatched = F.raise_error(F.lit("There are rows without a split.")).cast("boolean")
     return df.filter(F.when(F.col(GAP).isNull(), unmatched).otherwise(~F.col(GAP)))

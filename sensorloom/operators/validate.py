@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso_text, lenient_number, lenient_timestamp, missing
-from ..settings import max_distinct
 from ..spec import PanelSpec
 
 
 def require_columns(df: DataFrame, spec: PanelSpec) -> None:
     absent = [name for name in spec.required if name not in df.columns]
     if absent:
-        raise ValueError(f"Missing required columns: {absent}")
+        raise ValueError(f"The panel lacks {absent}.")
 
 
 def validation_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -90,29 +89,22 @@ def duplicate_keys(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def validation_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """One-row report. Raises ValueError for bad timestamps or rows without an entity.
 
-    Labels with more distinct invalid values than ``spark.sensorloom.maxDistinct`` are
-    not listed inside the row; ``binary_domain`` gives them all as a table.
+    Each label with values other than 0 and 1 is listed with the number of those values and of
+    the rows that hold them; ``binary_domain`` gives the values themselves as a table.
     """
     counts = validation_counts(df, spec).first()
     if counts["invalid_timestamps"]:
-        raise ValueError(f"The {spec.timestamp} column contains invalid values.")
+        raise ValueError(f"Some values of {spec.timestamp} are no timestamps.")
     if counts["null_entities"]:
-        raise ValueError(f"The {spec.entity} column contains missing values.")
+        raise ValueError(f"Some rows have no {spec.entity}.")
 
-    invalid = binary_domain(df, spec)
-    distinct = []
+    # At most one row per label.
+    offending = []
     if counts["invalid_label_rows"]:
-        distinct = invalid.groupBy("label").agg(F.count("*").alias("n")).collect()
-    listed = [row["label"] for row in distinct if row["n"] <= max_distinct(df.sparkSession)]
-    values = F.lit(None).cast("map<string,array<double>>")
-    if listed:
-        found = (
-            invalid.filter(F.col("label").isin(listed))
-            .groupBy("label")
-            .agg(F.array_sort(F.collect_list("value")).alias("values"))
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "values")))).alias("found"))
-        )
-        values = found.scalar()
+        domain = binary_domain(df, spec).groupBy("label")
+        offending = domain.agg(F.count("*").alias("distinct_values"), F.sum("rows").alias("rows")).orderBy("label").collect()
+    listed = [part for row in offending for part in (F.lit(row["label"]), F.struct(F.lit(row["distinct_values"]).alias("distinct_values"), F.lit(row["rows"]).alias("rows")))]
+    invalid = F.create_map(*listed).cast("map<string,struct<distinct_values:bigint,rows:bigint>>")
 
     def as_map(entries: dict[str, int]) -> Column:
         return F.create_map(*[F.lit(part) for entry in entries.items() for part in entry]).cast("map<string,bigint>")
@@ -122,7 +114,7 @@ def validation_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
         F.lit(counts["entities"]).cast("long").alias("entities"),
         F.col("surplus").alias("duplicate_keys"),
         as_map({name: counts[f"missing_{name}"] for name in spec.required}).alias("missing_by_column"),
-        F.coalesce(values, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))).alias("invalid_binary_values"),
+        invalid.alias("invalid_binary_values"),
         as_map({s: counts[f"outside_{s}"] for s in spec.sensors if s in spec.bounds}).alias("out_of_sanity_bounds"),
         F.lit(counts["start"]).alias("timestamp_start"),
         F.lit(counts["end"]).alias("timestamp_end"),

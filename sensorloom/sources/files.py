@@ -23,15 +23,18 @@ def table_format(path: str) -> str:
     """Format of a table by its suffix; unknown suffixes are rejected before any read."""
     suffix = PurePosixPath(str(path).rstrip("/")).suffix.lower()
     if suffix not in _FORMATS:
-        raise ValueError(f"Unsupported dataset format: {suffix}")
+        raise ValueError(f"No reader for tables that end in {suffix!r}.")
     return _FORMATS[suffix]
 
 
-def read_panel(spark: SparkSession, path: str, arrival: bool = True) -> DataFrame:
+def read_panel(spark: SparkSession, path: str, arrival: bool = True, multiline: bool = False) -> DataFrame:
     """Read a CSV or Parquet table.
 
     ``arrival`` adds ``_arrival``, the place of each row in its file, which keep-last
-    orders by. CSV cells stay text (no inference pass); the operators cast them.
+    orders by. CSV cells stay text (no inference pass); the operators cast them. Quoted cells
+    may hold commas and doubled quotes; with ``multiline`` also line breaks, but then each file
+    is one task, so it is off unless asked for. A record with another number of cells than the
+    header fails the job.
     """
     kind = table_format(path)
     if kind == "parquet":
@@ -39,7 +42,7 @@ def read_panel(spark: SparkSession, path: str, arrival: bool = True) -> DataFram
         place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
         return df.select("*", place.alias("_arrival")) if arrival else df
 
-    df = spark.read.option("header", True).csv(str(path))
+    df = spark.read.options(header=True, escape='"', multiLine=multiline, mode="FAILFAST").csv(str(path))
     names = df.columns
     cells = [
         F.when(~F.col(f"`{name}`").isin(*MISSING_TEXT), F.col(f"`{name}`")).alias(name) for name in names
@@ -69,7 +72,8 @@ def write_panel(df: DataFrame, path: str, spec: PanelSpec | None = None, mode: s
 
 def write_csv_report(df: DataFrame, path: str, one_file: bool = True) -> str:
     """Write a report table as CSV; ``one_file`` is for tables of a fixed small size."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(str(path))
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**plain).csv(str(path))
     return str(path)
 
 

@@ -36,7 +36,7 @@ def map_live(df: DataFrame, mapping: Mapping[str, str], spec: PanelSpec) -> Data
     """
     absent = [name for name in mapping if name not in df.columns]
     if absent:
-        raise ValueError(f"Live data is missing source columns: {absent}")
+        raise ValueError(f"The live table lacks {absent}.")
     renamed = df.withColumnsRenamed(dict(mapping))
     return renamed.withColumns(
         {

@@ -11,6 +11,9 @@ from sensorloom.sources.files import with_arrival
 from sensorloom.spec import HOURLY_PANEL as SPEC
 
 
+# The inputs of the published cases.
+
+
 def test_cleaning_trims_sorts_and_keeps_last(spark):
     rows = [
         ("2024-01-01 01:00", " hive1 ", 35, 800, 60, 40, 1, 0, 0, 0),
