@@ -9,7 +9,7 @@ Only components are wanted, so a bucket needs no pairs once its classes are know
 together. First each bucket links its members to leaders (linear in its size); those links are
 confirmed on the full sets. Then every pair of a bucket that still lies in two components and whose
 estimate is not clearly below the threshold is confirmed too. Nothing is capped: crowded buckets
-are compared in blocks.
+are compared in blocks, and exact similarities to a common neighbour rule out most pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ ROWS = 4
 # At similarity s the estimate of 512 cells has a standard error of sqrt(s(1-s)/512), 0.019 at 0.8
 # after correction. Pairs are confirmed from 4.5 standard errors below the threshold on, and a
 # pair at the threshold misses all 32 bands of 4 with probability (1 - 0.8**4)**32 = 5e-8.
+ERRORS = 4.5
 MARGIN = 0.085
 BLOCK = 2048
 KEPT_WORDS = 500_000
@@ -174,21 +175,37 @@ def _leaders(low: float):
     return lead
 
 
-def _acrosser(low: float, threshold: float):
-    """Pairs of two components of a bucket whose estimate reaches ``low``. Rows with ``asks`` are
-    compared with the others of the group, a pair of two minor members from its smaller one."""
+def _acrosser(low: float, threshold: float, best_only: bool):
+    """Pairs of two components of a bucket that may reach the threshold. Rows with ``asks`` are
+    compared with the others of the group, a pair of two minor members from its smaller one.
+
+    Where the exact similarity of an asking member and an anchor is known, it sharpens the estimate:
+    the member agrees with another one as with the anchor, but for cells in which those two differ.
+    With ``best_only`` each asking member names its likeliest partner only.
+    """
+    chance = 2.0**-BITS
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
         packed, names = _cells(frame).view(np.uint64), frame["cls"].to_numpy()
         component, sizes = frame["component"].to_numpy(), frame["n_shingles"].to_numpy()
         minor, target, found = frame["minor"].to_numpy(), np.flatnonzero(~frame["asks"]), []
+        anchors, known = frame["anchor"].to_numpy(), frame["similarity"].to_numpy()
         for i in np.flatnonzero(frame["asks"]):
             some = target[component[target] != component[i]]
             some = some[~minor[some] | (names[some] > names[i])]
             least, most = np.minimum(sizes[some], sizes[i]), np.maximum(sizes[some], sizes[i])
             some = some[least >= threshold * most - 1e-9]
-            near = some[estimate(packed[i], packed[some]) >= low]
-            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in near]
+            near = estimate(packed[i], packed[some])
+            able = near >= low
+            if anchors[i] is not None:
+                anchor = np.frombuffer(anchors[i], np.uint64)
+                differ = (1 - chance) * (1 - estimate(anchor, packed[some]))
+                near = known[i] + near - estimate(anchor, packed[i : i + 1])[0]
+                able &= near >= threshold - ERRORS * np.sqrt((differ + 3 / HASHES) / HASHES) / (1 - chance)
+            chosen = some[able]
+            if best_only and len(chosen):
+                chosen = chosen[[int(near[able].argmax())]]
+            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in chosen]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return across
@@ -201,9 +218,8 @@ def components(links: DataFrame) -> DataFrame:
     """(cls, component) of classes with links: the smallest class reachable. Labels of neighbours
     are taken, then labels of labels, until nothing changes."""
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("component"))
+    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("component")))
     while True:
-        labels = checkpoint(labels)
         offers = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.min("component").alias("offer"))
         taken = labels.join(offers.withColumnRenamed("a", "cls"), "cls").select("cls", "component", F.least("component", "offer").alias("next"))
         jump = labels.select(F.col("cls").alias("next"), F.col("component").alias("beyond"))
@@ -231,18 +247,21 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, width
     return checkpoint(made.groupBy("cls").agg(F.first("shingles").alias("shingles")))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def similarities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with the similarity of their full sets, and ``linked``: 100 * intersection >=
+    percent * union, in whole numbers."""
     one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
     two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
 
-    def linked(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+    def compare(of_a: pd.Series, of_b: pd.Series) -> pd.DataFrame:
         shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(of_a, of_b)]
-        return pd.Series([100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(shared, of_a, of_b)], dtype=bool)
+        union = [len(x) + len(y) - n for n, x, y in zip(shared, of_a, of_b)]
+        rows = [(100 * n >= percent * u, n / u) for n, u in zip(shared, union)]
+        return pd.DataFrame({"linked": pd.Series([r[0] for r in rows], dtype=bool), "similarity": pd.Series([r[1] for r in rows], dtype=float)})
 
-    test = F.pandas_udf(linked, T.BooleanType()).asNondeterministic()
+    test = F.pandas_udf(compare, "linked boolean, similarity double").asNondeterministic()
     both = pairs.join(one, "a").join(two, "b")
-    return both.select("a", "b", test("of_a", "of_b").alias("linked")).filter("linked").select("a", "b")
+    return checkpoint(both.select("a", "b", test("of_a", "of_b").alias("found")).select("a", "b", "found.*"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,6 +301,7 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     )
     buckets = prints.groupBy("n", "mixed", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     signatures = signed.join(inside.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    signatures = checkpoint(signatures)
     members = checkpoint(inside.join(buckets, "bucket").join(signatures, "cls"))
     sets = _candidate_sets(docs, signed, members.select("cls").distinct(), width)
 
@@ -294,21 +314,39 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     led = checkpoint(placed.select("bucket", "block", "cls", "signature").groupBy("bucket", "block").applyInPandas(_leaders(low), "leader long, cls long, near double"))
     best = led.groupBy("cls").agg(F.max_by("leader", "near").alias("nearest"), F.min("leader").alias("first"))
     pairs = best.select("cls", F.explode(F.array("nearest", "first")).alias("leader")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-    first = checkpoint(confirm(pairs, sets, percent))
+    checked = similarities(pairs, sets, percent)
+
+    # 2. Buckets that still hold several components: pairs across them, first the likeliest partner
+    # of each member outside its bucket's main component, then all that may be linked.
+    for best_only in (True, False):
+        labels = components(checked.filter("linked"))
+        asked = _across(members, labels, _anchors(checked, signatures), _acrosser(low, threshold, best_only))
+        checked = checked.union(similarities(asked.join(checked, ["a", "b"], "left_anti"), sets, percent))
+    return checked.filter("linked").select("a", "b")
+
+
+def _anchors(checked: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(cls, similarity, anchor): for each compared class the nearest other one and its signature."""
+    both = checked.select(F.col("a").alias("cls"), F.col("b").alias("other"), "similarity").union(checked.select("b", "a", "similarity"))
+    nearest = both.groupBy("cls").agg(F.max(F.struct("similarity", "other")).alias("n")).select("cls", "n.similarity", "n.other")
+    return nearest.join(signatures.select(F.col("cls").alias("other"), F.col("signature").alias("anchor")), "other").drop("other")
+
 
-    # 2. Buckets that still hold several components: all pairs across them.
-    labels = components(first)
+def _across(members: DataFrame, labels: DataFrame, anchors: DataFrame, pick) -> DataFrame:
+    """Distinct pairs (a, b) across components inside buckets. The members outside the main component
+    of a bucket ask, in groups of about BLOCK, the blocks of all its members."""
     labelled = members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
     main = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.max("share").alias("share"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     split = labelled.join(main.select("bucket", "main", "share"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    spread, blocks = F.xxhash64("cls", "bucket"), F.ceil(F.col("n") / BLOCK).cast("long")
     asking = F.greatest(F.ceil((F.col("n") - F.col("share")) / BLOCK), F.lit(1)).cast("long")
-    split = split.select("bucket", "cls", "component", "n_shingles", "signature", "minor", own.alias("home"), blocks.alias("blocks"), asking.alias("askers"))
+    split = split.select("bucket", "cls", "component", "n_shingles", "signature", "minor", blocks.alias("blocks"), asking.alias("askers"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    targets = split.withColumn("block", F.col("home")).withColumn("asker", F.explode(upto("askers"))).withColumn("asks", F.lit(False))
-    askers = split.filter("minor").withColumn("block", F.explode(upto("blocks"))).withColumn("asker", F.pmod(spread, F.col("askers"))).withColumn("asks", F.lit(True))
-    rest = targets.unionByName(askers).groupBy("bucket", "block", "asker").applyInPandas(_acrosser(low, threshold), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    return first.union(confirm(rest, sets, percent))
+    targets = split.withColumn("block", F.pmod(spread, F.col("blocks"))).withColumn("asker", F.explode(upto("askers"))).withColumn("asks", F.lit(False))
+    targets = targets.withColumns({"anchor": F.lit(None).cast("binary"), "similarity": F.lit(None).cast("double")})
+    askers = split.filter("minor").join(anchors, "cls", "left").withColumn("block", F.explode(upto("blocks"))).withColumn("asker", F.pmod(spread, F.col("askers"))).withColumn("asks", F.lit(True))
+    return targets.unionByName(askers).groupBy("bucket", "block", "asker").applyInPandas(pick, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
