@@ -62,10 +62,10 @@ def with_removed(docs: DataFrame, name: str, min_sites: int = MIN_SITES, min_cha
     here = F.struct("row_a", "row_b", "at")
     keeps = F.struct(F.col("first.row_a"), F.col("first.row_b"), F.col("first.at"))
     gone = (
-        _lines(docs, min_chars).select("row_a", "row_b", "at", "line_a", "line_b").distinct()
+        _lines(docs, min_chars).select("row_a", "row_b", "at", "line_a", "line_b")
         .join(boilerplate(docs, min_sites, min_chars), ["line_a", "line_b"])
         .filter(here != keeps)
-        .groupBy("row_a", "row_b").agg(F.sort_array(F.collect_list("at")).alias(name))
+        .groupBy("row_a", "row_b").agg(F.sort_array(F.collect_set("at")).alias(name))
     )
     a, b = fresh(docs, "row_a"), fresh(docs, "row_b")
     key_a, key_b = _row_key(docs, F.col("text"))
