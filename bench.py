@@ -31,6 +31,7 @@ HEADLINE = (
     "lag_change",
     "rolling_statistics",
     "feature_set",
+    "feature_set_unrounded",
     "sampling_interval",
     "sensor_statistics",
     "outlier_analysis",
@@ -65,7 +66,7 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    calls = {**REGISTRY, "feature_set": feature_set}
+    calls = {**REGISTRY, "feature_set_unrounded": feature_set}
     timings = {}
     for name in names:
         taken = []

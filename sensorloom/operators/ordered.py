@@ -58,15 +58,16 @@ def pieces_for(rows: int, bound: int) -> int:
     return max(2, min(MAX_PIECES, -(-4 * rows // max(1, bound))))
 
 
-def cut_points(df: DataFrame, column: str, rows: int, pieces: int) -> list[float]:
-    """Values that cut a numeric column into pieces of about equal row count.
+def cut_points(df: DataFrame, columns: Sequence[str], rows: int, pieces: int) -> dict[str, list[float]]:
+    """For each numeric column, values that cut it into pieces of about equal row count.
 
-    Estimated on a sample, the way Spark picks the bounds of a range exchange.
+    Estimated on one sample for all columns, the way Spark picks the bounds of a range exchange.
     """
     fraction = min(1.0, _ROWS_PER_CUT * pieces / max(1, rows))
     sampled = df if fraction == 1.0 else df.sample(fraction, seed=17)
     steps = [step / pieces for step in range(1, pieces)]
-    return sorted(set(sampled.approxQuantile(column, steps, 1 / (4 * pieces))))
+    found = sampled.approxQuantile(list(columns), steps, 1 / (4 * pieces))
+    return {column: sorted(set(cuts)) for column, cuts in zip(columns, found, strict=True)}
 
 
 def piece_number(df: DataFrame, column: str, cuts: Sequence[float], output: str) -> DataFrame:
@@ -98,7 +99,7 @@ def measure(df: DataFrame, spec: PanelSpec) -> Skew:
         df.join(_listed(df, spec, entities), spec.entity, "left_semi")
         .select(epoch_micros(F.col(spec.timestamp)).cast("double").alias("_at"))
     )
-    cuts = cut_points(moments, "_at", long_rows, pieces_for(long_rows, bound))
+    cuts = cut_points(moments, ["_at"], long_rows, pieces_for(long_rows, bound))["_at"]
     return Skew(total["rows"], total["nulls"], entities, tuple(cuts))
 
 
@@ -120,7 +121,9 @@ def long_part(df: DataFrame, spec: PanelSpec, skew: Skew) -> DataFrame:
     part = df.join(_listed(df, spec, skew.long_entities), spec.entity, "left_semi").select(*df.columns)
     stamped = part.withColumn("_at", epoch_micros(F.col(spec.timestamp)).cast("double"))
     sliced = piece_number(stamped, "_at", skew.cuts, "_slice").drop("_at")
-    return sliced.withColumn("_slice", F.coalesce(F.col("_slice"), F.lit(float("inf"))))
+    # Rows without a time come last in any order, so they are spread over slices beyond all others.
+    beyond = F.lit(1e9) + F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(len(skew.cuts) + 1))
+    return sliced.withColumn("_slice", F.coalesce(F.nanvl(F.col("_slice"), F.lit(None)), beyond))
 
 
 def by_time(keys: Sequence[str], spec: PanelSpec) -> WindowSpec:
@@ -187,7 +190,9 @@ def windowed(
     """
     skew = skew or measure(df, spec)
     if skew.plain:
-        return build(df, [spec.entity])
+        # ``skew`` may come from another table, so rows without an entity are looked after here too.
+        built = build(df, [spec.entity])
+        return built.select(*[F.when(F.col(spec.entity).isNotNull(), F.col(f"`{c}`")).alias(c) if c not in df.columns else F.col(f"`{c}`") for c in built.columns])
 
     result = build(short_part(df, spec, skew), [spec.entity])
     added = [field for field in result.schema if field.name not in df.columns]

@@ -53,9 +53,8 @@ def column_quantiles(
         parts.append(quantiles_of_counts(_long(values, few), ["column"], fractions))
     if many:
         pieced = values
-        for name in many:
-            held = values.filter(F.col(name).isNotNull())
-            cuts = cut_points(held, name, sizes["rows"], pieces_for(sizes[name], bound))
+        pieces = pieces_for(max(sizes[name] for name in many), bound)
+        for name, cuts in cut_points(values, many, sizes["rows"], pieces).items():
             pieced = piece_number(pieced, name, cuts, f"{name}_piece")
         parts.append(quantiles_of_ranges(_long(pieced, many, pieces=True), ["column"], fractions))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -123,8 +122,7 @@ def quantiles_of_counts(long: DataFrame, keys: Sequence[str], fractions: Sequenc
 def quantiles_of_ranges(long: DataFrame, keys: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """Quantiles per group of (keys, value, piece, _weight) rows with many distinct values.
 
-    ``piece`` must not decrease as ``value`` grows. There are a few groups, or at most
-    ``MAX_LISTED_GROUPS``, so the pieces that matter make up a small table.
+    ``piece`` must not decrease as ``value`` grows.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy("piece")
@@ -147,7 +145,7 @@ def quantiles_of_ranges(long: DataFrame, keys: Sequence[str], fractions: Sequenc
 
     inside = Window.partitionBy(*keys, "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        long.join(F.broadcast(needed), [*keys, "piece"])
+        long.join(needed, [*keys, "piece"])
         .groupBy(*keys, "piece", "base", "total", "value")
         .agg(F.sum("_weight").alias("n"))
         .withColumn("stop", F.col("base") + F.sum("n").over(inside))

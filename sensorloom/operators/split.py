@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..spec import PanelSpec
 from .ordered import Skew, with_position
@@ -65,27 +66,32 @@ def chronological_split(
 
 
 def join_manifest(df: DataFrame, manifest: DataFrame, spec: PanelSpec, check: bool = True) -> DataFrame:
-    """Left join on (entity, timestamp), one row to one row.
+    """The manifest's columns beside the table's, one row to one row; missing keys match each other.
 
-    The manifest is as long as the table, so it is shuffled, never broadcast; keys are
-    unique on both sides, so no join key can be hot. ``check`` verifies that first in
-    one job over the keys alone and raises ValueError; missing keys match each other.
+    Both sides are laid into one exchange on (entity, timestamp) and looked at once: a window over
+    the key counts the rows of either side, which ``check`` wants to be one at most (the job fails
+    otherwise), and carries the manifest's columns over. Keys are unique, so none can be hot, and
+    nothing is broadcast.
     """
+    extra = [field for field in manifest.schema if field.name not in spec.keys]
+    own = [field for field in df.schema if field.name not in spec.keys]
+    rows = df.select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra], F.lit(1).alias("_table"))
+    entries = manifest.select(
+        *spec.keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in own], *[f.name for f in extra], F.lit(0).alias("_table")
+    )
+    key = Window.partitionBy(*spec.keys)
+    laid = rows.unionByName(entries).withColumns(
+        {
+            "_in_table": F.sum("_table").over(key),
+            "_in_manifest": F.sum(1 - F.col("_table")).over(key),
+            **{f.name: F.first(f.name, ignorenulls=True).over(key) for f in extra},
+        }
+    )
+    wanted = F.col("_table") == 1
     if check:
-        sides = df.select(*spec.keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-            manifest.select(*spec.keys, F.lit(0).alias("l"), F.lit(1).alias("r"))
-        )
-        copies = sides.groupBy(*spec.keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        worst = copies.agg(F.max("l").alias("l"), F.max("r").alias("r")).first()
-        for side, name in (("l", "table"), ("r", "manifest")):
-            if (worst[side] or 0) > 1:
-                raise ValueError(f"The {name} holds a key more than once.")
-    extra = [name for name in manifest.columns if name not in spec.keys]
-    left, right = df.alias("table"), manifest.alias("manifest")
-    same = F.lit(True)
-    for key in spec.keys:
-        same = same & F.col(f"table.{key}").eqNullSafe(F.col(f"manifest.{key}"))
-    return left.join(right, same, "left").select("table.*", *[F.col(f"manifest.{name}") for name in extra])
+        twice = lambda side: F.raise_error(F.lit(f"The {side} holds a key more than once.")).cast("boolean")
+        wanted = F.when(F.col("_in_table") > 1, twice("table")).when(F.col("_in_manifest") > 1, twice("manifest")).otherwise(wanted)
+    return laid.filter(wanted).select(*df.columns, *[f.name for f in extra])
 
 
 def drop_boundary_gap(df: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import epoch_micros, known, lenient_number, strict_timestamp, strip
-from ..operators.ordered import cut_points, group_limit, piece_number, pieces_for
+from ..operators.ordered import cut_points, piece_number, pieces_for
 from ..operators.quantiles import quantiles_of_ranges
-from ..settings import max_group_rows
+from ..settings import checkpoint, max_group_rows
 from ..spec import PanelSpec
 
 _UNITS = {"s": 1, "sec": 1, "second": 1, "min": 60, "minute": 60, "t": 60, "h": 3600, "hour": 3600, "d": 86_400, "day": 86_400}
 DAY = 86_400
+SALTS = 32
 
 
 def frequency_seconds(frequency: str) -> int:
@@ -78,17 +79,16 @@ def resample_median(
         rows = rows.withColumn("_start", F.window(spec.timestamp, f"{seconds} seconds").start)
     keys = [spec.entity, "_start"]
 
+    bound = max_group_rows(df.sparkSession)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
-    limit = group_limit(total["rows"], max_group_rows(df.sparkSession))
-    if total["largest"] <= limit:
+    if total["largest"] <= bound:
         medians = rows.groupBy(*keys).agg(*_medians(spec))
     else:
-        listed = sizes.filter(F.col("n") > limit)
-        crowded = listed.select(*keys).collect()  # at most MAX_LISTED_GROUPS, see group_limit
-        frame = F.broadcast(df.sparkSession.createDataFrame(crowded, listed.select(*keys).schema))
-        few = rows.join(frame, keys, "left_anti").groupBy(*keys).agg(*_medians(spec))
-        many = _crowded_medians(rows.join(frame, keys, "left_semi"), keys, spec, total["rows"])
+        # However many windows are crowded, they stay a table; a join can split those it finds long.
+        crowded = checkpoint(sizes.filter(F.col("n") > bound).select(*keys))
+        few = rows.join(crowded, keys, "left_anti").groupBy(*keys).agg(*_medians(spec))
+        many = _crowded_medians(rows.join(crowded, keys, "left_semi"), keys, spec, total["rows"])
         medians = few.unionByName(many)
     return _some_value(medians.select(spec.entity, F.col("_start").alias(spec.timestamp), *spec.sensors), spec)
 
@@ -106,18 +106,20 @@ def _anchored(rows: DataFrame, spec: PanelSpec, seconds: int) -> DataFrame:
     first = rows.groupBy(spec.entity).agg(
         epoch_micros(F.date_trunc("day", F.min(spec.timestamp))).alias("_origin")
     )
+    # The few values per entity are repeated, so that no task gets all rows of a long one.
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spec.timestamp), F.lit(SALTS)).cast("int"))
     length = seconds * 1_000_000
     offset = epoch_micros(F.col(spec.timestamp)) - F.col("_origin")
     start = F.timestamp_micros(F.col("_origin") + offset - F.pmod(offset, F.lit(length)))
-    return rows.join(first, spec.entity).withColumn("_start", start).drop("_origin")
+    return rows.join(first, [spec.entity, "_salt"]).withColumn("_start", start).drop("_origin", "_salt")
 
 
 def _crowded_medians(rows: DataFrame, keys: list[str], spec: PanelSpec, total: int) -> DataFrame:
     """Medians of groups too large for one task, by counting ranks over value ranges."""
     bound = max_group_rows(rows.sparkSession)
     pieced = rows
-    for sensor in spec.sensors:
-        cuts = cut_points(rows.filter(F.col(sensor).isNotNull()), sensor, total, pieces_for(total, bound))
+    for sensor, cuts in cut_points(rows, spec.sensors, total, pieces_for(total, bound)).items():
         pieced = piece_number(pieced, sensor, cuts, f"_piece_{sensor}")
     triples = F.array(
         *[F.struct(F.lit(s).alias("column"), F.col(s).alias("value"), F.col(f"_piece_{s}").alias("piece")) for s in spec.sensors]
