@@ -397,6 +397,11 @@ Q["alias_resolution"] = f"""WITH {LIVE}
 SELECT entity, ts, CASE WHEN error = 0 THEN value END AS temp, k AS temperature_c,
        CASE WHEN error = 0 AND value IS NOT NULL THEN value ELSE k END AS temperature, CAST(-1 AS DOUBLE) AS co2 FROM live"""
 
+Q["normalised_sections"] = f"""WITH {LIVE}
+SELECT 'temperature' AS sensor, count(value) AS count, {tidy("avg(value)", 3)} AS mean FROM live
+UNION ALL SELECT 'co2', count(k), {tidy("avg(k)", 3)} FROM live
+UNION ALL SELECT s, NULL, NULL FROM (VALUES ('humidity'), ('weight')) AS t(s)"""
+
 # --- whole flows ---------------------------------------------------------------------
 Q["training_rows"] = _split("entity, ts", "0.7", _BOTH, 24) + f""",
 featured AS (

@@ -607,6 +607,15 @@ def label_balance_map(spark, folder):
     return contracts.label_balance_rows(packed, "target_balance").drop("positive_per_10000")
 
 
+@query
+def normalised_sections(spark, folder):
+    """Statistics under other sensor names, through the section contract; two sensors are absent."""
+    live = live_raw(spark, folder)
+    statistics = profile.sensor_statistics(live, LIVE).withColumn("sensor", F.when(F.col("sensor") == "value", "temp").otherwise("co2_ppm"))
+    sections = contracts.normalise_sections({"sensor_statistics": statistics})
+    return sections["sensor_statistics"].select("sensor", "count", "mean").unionByName(sections["hive_stats"].select(F.col("hive").alias("sensor"), F.col("records").alias("count"), F.lit(0.0).alias("mean")))
+
+
 # --- whole flows ---------------------------------------------------------------------
 
 

@@ -85,9 +85,48 @@ def label_balance_rows(df: DataFrame, column: str) -> DataFrame:
     return entries.select("target", *[value.alias(name) for name, value in resolved.items()])
 
 
+# What a reader finds where a result has no such section: no rows, but the columns it asks for.
+_PATTERN = ", ".join(f"{name} double" for name in SENSOR_ALIASES)
+ABSENT_SECTIONS = {
+    "sensor_statistics": "sensor string, count bigint",
+    "outlier_analysis": "sensor string, count bigint, percentage double",
+    "hive_stats": "hive string, records bigint, coverage_percentage double",
+    "hourly_patterns": f"hour int, {_PATTERN}",
+    "weekday_patterns": f"day string, {_PATTERN}",
+    "monthly_patterns": f"month string, {_PATTERN}",
+    "sensor_histograms": "sensor string, bin int, count bigint",
+    "target_balance": "target string, display_name string, positive bigint, negative bigint, positive_percentage double, positive_per_10000 double",
+    "target_by_hive": "hive string",
+    "monthly_target_counts": "month string, records bigint",
+    "target_cooccurrence": "row string, column string, count bigint",
+    "target_sensor_effects": "target string, sensor string",
+    "relationship_sample": f"hive string, timestamp string, {_PATTERN}",
+    "correlation": "row string, column string, correlation double",
+    "data_quality": "name string, missing bigint",
+}
+
+
+def canonical_sensors(statistics: DataFrame) -> DataFrame:
+    """Statistics with one row per canonical sensor, from the first of its aliases that has one.
+
+    A sensor found under no alias has a row without values. The alias table is fixed and small.
+    """
+    known = [(name, alias, place) for name, aliases in SENSOR_ALIASES.items() for place, alias in enumerate(aliases)]
+    aliases = statistics.sparkSession.createDataFrame(known, "_canonical string, _alias string, _place int")
+    values = [c for c in statistics.columns if c != "sensor"]
+    found = aliases.join(statistics, F.col("_alias") == F.col("sensor"), "left")
+    place = F.when(F.col("sensor").isNotNull(), F.col("_place")).otherwise(len(known))
+    first = found.groupBy("_canonical").agg(F.min_by(F.struct(*values), place).alias("_values"))
+    return first.select(F.col("_canonical").alias("sensor"), *[F.col(f"_values.`{c}`").alias(c) for c in values])
+
+
 def normalise_sections(sections: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Give every result table its canonical section name, columns and defaults."""
+    """Give every result table its canonical section name, columns and defaults.
+
+    Sections that are absent become empty tables (if there is any table to go by).
+    """
     named = dict(sections)
+    spark = next((frame.sparkSession for frame in sections.values()), None)
     for canonical, names in SECTION_ALIASES.items():
         found = next((name for name in names if name in sections), None)
         for name in names:
@@ -101,7 +140,12 @@ def normalise_sections(sections: Mapping[str, DataFrame]) -> dict[str, DataFrame
     for section in ("hourly_patterns", "weekday_patterns", "monthly_patterns", "relationship_sample"):
         if section in named:
             named[section] = resolve_aliases(named[section], SENSOR_ALIASES)
+    if "sensor_statistics" in named:
+        named["sensor_statistics"] = canonical_sensors(named["sensor_statistics"])
     balance = named.get("target_balance")
     if balance is not None and len(balance.columns) == 1 and isinstance(balance.schema[0].dataType, T.MapType):
         named["target_balance"] = label_balance_rows(balance, balance.columns[0])
+    if spark:
+        for section, columns in ABSENT_SECTIONS.items():
+            named.setdefault(section, spark.createDataFrame([], columns))
     return named

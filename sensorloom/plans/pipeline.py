@@ -13,9 +13,9 @@ from ..operators.features import CHANGES, DEFAULT_STATISTICS, LAGS, WINDOWS, com
 from ..operators.ordered import Skew, measure
 from ..operators.split import chronological_split, drop_boundary_gap, join_manifest
 from ..operators.targets import future_event, future_point
-from ..operators.validate import validation_report
+from ..operators.validate import binary_domain, validation_report
 from ..sources.files import read_panel, write_json_report, write_panel
-from ..spec import HOURLY_PANEL, PanelSpec, spec_from_config
+from ..spec import HOURLY_PANEL, LIVE_COLUMNS, LIVE_OPTIONAL_COLUMNS, PanelSpec, spec_from_config
 from ..streaming.live import map_live, resample_median
 from .report import eda_report
 
@@ -36,7 +36,8 @@ class PipelineConfig:
     changes: tuple[int, ...] = CHANGES
     windows: tuple[int, ...] = WINDOWS
     statistics: tuple[str, ...] = DEFAULT_STATISTICS
-    extra: Mapping[str, object] = field(default_factory=dict)
+    live_columns: Mapping[str, str] = field(default_factory=lambda: dict(LIVE_COLUMNS))
+    live_optional: Mapping[str, str] = field(default_factory=lambda: dict(LIVE_OPTIONAL_COLUMNS))
 
     @classmethod
     def from_mapping(cls, config: Mapping[str, Mapping]) -> PipelineConfig:
@@ -63,6 +64,8 @@ class PipelineConfig:
             changes=tuple(features.get("change_hours", CHANGES)),
             windows=tuple(features.get("rolling_windows_hours", WINDOWS)),
             statistics=tuple(features.get("rolling_statistics", DEFAULT_STATISTICS)),
+            live_columns=dict(config.get("columns", LIVE_COLUMNS)),
+            live_optional=dict(config.get("optional_metadata", LIVE_OPTIONAL_COLUMNS)),
         )
 
 
@@ -88,17 +91,21 @@ def run_pipeline(spark: SparkSession, source: str, out: str, config: PipelineCon
     paths = {
         "raw_report": f"{out}/reports/raw_validation_report",
         "clean_report": f"{out}/reports/clean_validation_report",
+        "raw_values": f"{out}/reports/raw_invalid_values",
+        "clean_values": f"{out}/reports/clean_invalid_values",
         "clean": f"{out}/processed/common_clean.parquet",
         "eda": f"{out}/reports/common_eda",
         "manifest": f"{out}/manifests/common_split_manifest.parquet",
     }
     raw = read_panel(spark, source)
     write_json_report(validation_report(raw, spec), paths["raw_report"])
+    write_json_report(binary_domain(raw, spec), paths["raw_values"], one_file=False)
     cleaned = clean(raw, spec, config.interpolate, config.interpolation_limit, config.deduplicate)
     write_panel(cleaned, paths["clean"], spec)
 
     table = spark.read.parquet(paths["clean"])
     write_json_report(validation_report(table, spec), paths["clean_report"])
+    write_json_report(binary_domain(table, spec), paths["clean_values"], one_file=False)
     skew = measure(table, spec)
     eda_report(table, spec, paths["eda"], skew.rows)
     manifest = chronological_split(table, spec, config.train, config.validation, config.gap_rows, skew)
@@ -132,10 +139,14 @@ def training_table(
     return drop_boundary_gap(join_manifest(with_target, manifest, spec))
 
 
-def live_features(raw: DataFrame, mapping: Mapping[str, str], config: PipelineConfig) -> DataFrame:
-    """Features of live readings: map, resample to the training frequency, build features."""
+def live_features(raw: DataFrame, mapping: Mapping[str, str] | None, config: PipelineConfig) -> DataFrame:
+    """Features of live readings: map, resample to the training frequency, build features.
+
+    Without ``mapping`` the configured ``columns`` section is used.
+    """
     spec = config.spec
-    hourly = resample_median(map_live(raw, mapping, spec), spec, config.frequency)
+    mapping = config.live_columns if mapping is None else mapping
+    hourly = resample_median(map_live(raw, mapping, spec, config.live_optional), spec, config.frequency)
     return common_features(
         hourly, spec, lags=config.lags, changes=config.changes, windows=config.windows,
         statistics=config.statistics,

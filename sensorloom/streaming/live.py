@@ -29,16 +29,16 @@ def frequency_seconds(frequency: str) -> int:
     return seconds
 
 
-def map_live(df: DataFrame, mapping: Mapping[str, str], spec: PanelSpec) -> DataFrame:
+def map_live(df: DataFrame, mapping: Mapping[str, str], spec: PanelSpec, optional: Mapping[str, str] | None = None) -> DataFrame:
     """Rename live columns to panel columns; UTC timestamps, trimmed entity, lenient numbers.
 
-    Other columns pass through. Works on batches and streams; order a batch with
+    Columns of ``optional`` are renamed where they are; others pass through. Works on batches and streams; order a batch with
     ``sort_panel`` when it is written.
     """
     absent = [name for name in mapping if name not in df.columns]
     if absent:
         raise ValueError(f"The live table lacks {absent}.")
-    renamed = df.withColumnsRenamed(dict(mapping))
+    renamed = df.withColumnsRenamed({**(optional or {}), **mapping})
     return renamed.withColumns(
         {
             spec.timestamp: strict_timestamp(renamed, spec.timestamp, "timestamp"),

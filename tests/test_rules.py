@@ -316,3 +316,14 @@ def test_late_and_unordered_live_windows(spark, tmp_path):
     start = origin + ((frame["ts"] - origin) // pd.Timedelta("7h")) * pd.Timedelta("7h")
     wanted = frame.groupby(["hive", start])["a"].median()
     assert sorted(found["a"]) == sorted(wanted)
+
+
+def test_sections_are_complete_and_live_columns_configured(spark):
+    found = contracts.normalise_sections({"sensor_statistics": spark.createDataFrame([("temp", 2), ("co2", 3), ("co2_ppm", 4)], "sensor string, count long")})
+    assert sorted(map(tuple, found["sensor_statistics"].collect()), key=str) == [("co2", 3), ("humidity", None), ("temperature", 2), ("weight", None)]
+    assert all(found[name].isEmpty() for name in contracts.ABSENT_SECTIONS if name != "sensor_statistics")
+    config = PipelineConfig.from_mapping({"columns": {"dev": "hive_id"}, "optional_metadata": {"seen": "ingested"}})
+    assert (config.live_columns, config.live_optional) == ({"dev": "hive_id"}, {"seen": "ingested"})
+    live = spark.createDataFrame([("h ", "2024-01-01 00:00", 1.0)], "dev string, timestamp string, seen double")
+    mapped = map_live(live, {"dev": "hive_id"}, PanelSpec("hive_id", "timestamp", (), ()), config.live_optional)
+    assert mapped.columns == ["hive_id", "timestamp", "ingested"]
