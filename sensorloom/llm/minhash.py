@@ -175,13 +175,12 @@ def _leaders(low: float):
     return lead
 
 
-def _acrosser(low: float, threshold: float, best_only: bool):
+def _acrosser(low: float, threshold: float):
     """Pairs of two components of a bucket that may reach the threshold. Rows with ``asks`` are
     compared with the others of the group, a pair of two minor members from its smaller one.
 
     Where the exact similarity of an asking member and an anchor is known, it sharpens the estimate:
     the member agrees with another one as with the anchor, but for cells in which those two differ.
-    With ``best_only`` each asking member names its likeliest partner only.
     """
     chance = 2.0**-BITS
 
@@ -190,6 +189,7 @@ def _acrosser(low: float, threshold: float, best_only: bool):
         component, sizes = frame["component"].to_numpy(), frame["n_shingles"].to_numpy()
         minor, target, found = frame["minor"].to_numpy(), np.flatnonzero(~frame["asks"]), []
         anchors, known = frame["anchor"].to_numpy(), frame["similarity"].to_numpy()
+        here, own = int(frame["bucket"].iloc[0]), [frozenset(b.tolist()) for b in frame["buckets"]]
         for i in np.flatnonzero(frame["asks"]):
             some = target[component[target] != component[i]]
             some = some[~minor[some] | (names[some] > names[i])]
@@ -202,10 +202,8 @@ def _acrosser(low: float, threshold: float, best_only: bool):
                 differ = (1 - chance) * (1 - estimate(anchor, packed[some]))
                 near = known[i] + near - estimate(anchor, packed[i : i + 1])[0]
                 able &= near >= threshold - ERRORS * np.sqrt((differ + 3 / HASHES) / HASHES) / (1 - chance)
-            chosen = some[able]
-            if best_only and len(chosen):
-                chosen = chosen[[int(near[able].argmax())]]
-            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in chosen]
+            # A pair that shares several buckets is named in the first of them only.
+            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in some[able] if min(own[i] & own[j]) == here]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return across
@@ -302,7 +300,9 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     buckets = prints.groupBy("n", "mixed", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     signatures = signed.join(inside.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     signatures = checkpoint(signatures)
-    members = checkpoint(inside.join(buckets, "bucket").join(signatures, "cls"))
+    kept = inside.join(buckets, "bucket")
+    lists = kept.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS each
+    members = checkpoint(kept.join(signatures, "cls").join(lists, "cls"))
     sets = _candidate_sets(docs, signed, members.select("cls").distinct(), width)
 
     # 1. Links to leaders. A crowded bucket is cut into blocks, which share a few members.
@@ -316,13 +316,11 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     pairs = best.select("cls", F.explode(F.array("nearest", "first")).alias("leader")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     checked = similarities(pairs, sets, percent)
 
-    # 2. Buckets that still hold several components: pairs across them, first the likeliest partner
-    # of each member outside its bucket's main component, then all that may be linked.
-    for best_only in (True, False):
-        labels = components(checked.filter("linked"))
-        asked = _across(members, labels, _anchors(checked, signatures), _acrosser(low, threshold, best_only))
-        checked = checked.union(similarities(asked.join(checked, ["a", "b"], "left_anti"), sets, percent))
-    return checked.filter("linked").select("a", "b")
+    # 2. Buckets that still hold several components: all pairs across them that may be linked.
+    labels = components(checked.filter("linked"))
+    asked = _across(members, labels, _anchors(checked, signatures), _acrosser(low, threshold))
+    rest = similarities(asked.join(checked, ["a", "b"], "left_anti"), sets, percent)
+    return checked.union(rest).filter("linked").select("a", "b")
 
 
 def _anchors(checked: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -333,7 +331,7 @@ def _anchors(checked: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, labels: DataFrame, anchors: DataFrame, pick) -> DataFrame:
-    """Distinct pairs (a, b) across components inside buckets. The members outside the main component
+    """Pairs (a, b), each once, across components inside buckets. The members outside the main component
     of a bucket ask, in groups of about BLOCK, the blocks of all its members."""
     labelled = members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
@@ -341,12 +339,12 @@ def _across(members: DataFrame, labels: DataFrame, anchors: DataFrame, pick) ->
     split = labelled.join(main.select("bucket", "main", "share"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
     spread, blocks = F.xxhash64("cls", "bucket"), F.ceil(F.col("n") / BLOCK).cast("long")
     asking = F.greatest(F.ceil((F.col("n") - F.col("share")) / BLOCK), F.lit(1)).cast("long")
-    split = split.select("bucket", "cls", "component", "n_shingles", "signature", "minor", blocks.alias("blocks"), asking.alias("askers"))
+    split = split.select("bucket", "buckets", "cls", "component", "n_shingles", "signature", "minor", blocks.alias("blocks"), asking.alias("askers"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     targets = split.withColumn("block", F.pmod(spread, F.col("blocks"))).withColumn("asker", F.explode(upto("askers"))).withColumn("asks", F.lit(False))
     targets = targets.withColumns({"anchor": F.lit(None).cast("binary"), "similarity": F.lit(None).cast("double")})
     askers = split.filter("minor").join(anchors, "cls", "left").withColumn("block", F.explode(upto("blocks"))).withColumn("asker", F.pmod(spread, F.col("askers"))).withColumn("asks", F.lit(True))
-    return targets.unionByName(askers).groupBy("bucket", "block", "asker").applyInPandas(pick, "a long, b long").distinct()
+    return targets.unionByName(askers).groupBy("bucket", "block", "asker").applyInPandas(pick, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
