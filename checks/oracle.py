@@ -242,8 +242,8 @@ Q["sensor_summary_report"] = _statistics(PANEL, 4, {"q1": "q25", "median": "q50"
 Q["outlier_analysis"] = f"WITH {PANEL}\n" + union(
     [
         f"""SELECT '{s}' AS sensor, count(*) FILTER ({s} < lo OR {s} > hi) AS count,
-       round(count(*) FILTER ({s} < lo OR {s} > hi) * 100.0 / count({s}), 4) AS percentage,
-       round(any_value(lo), 3) AS lower_bound, round(any_value(hi), 3) AS upper_bound
+       {tidy(f"(count(*) FILTER ({s} < lo OR {s} > hi) * 100.0 / count({s}))", 4)} AS percentage,
+       {tidy("any_value(lo)", 3)} AS lower_bound, {tidy("any_value(hi)", 3)} AS upper_bound
 FROM panel, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
   SELECT quantile_cont(CAST({s} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({s} AS DOUBLE), 0.75) AS q3 FROM panel))"""
         for s in (*SENSORS, "t3")
@@ -253,8 +253,8 @@ FROM panel, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
 
 def _histogram(source: str, name: str, sensors: tuple[str, ...], bins: int) -> str:
     parts = [
-        f"""SELECT '{s}' AS sensor, CAST(b.bin AS INTEGER) AS bin, round(b.lo, 3) AS bin_start, round(b.hi, 3) AS bin_end,
-       round((b.lo + b.hi) / 2, 3) AS bin_center, count(p.{s}) AS count
+        f"""SELECT '{s}' AS sensor, CAST(b.bin AS INTEGER) AS bin, {tidy("b.lo", 3)} AS bin_start, {tidy("b.hi", 3)} AS bin_end,
+       {tidy("((b.lo + b.hi) / 2)", 3)} AS bin_center, count(p.{s}) AS count
 FROM (SELECT bin, mn + bin * ((mx - mn) / {bins}) AS lo,
              CASE WHEN bin = {bins - 1} THEN mx ELSE mn + (bin + 1) * ((mx - mn) / {bins}) END AS hi
       FROM range(0, {bins}) r(bin), (SELECT min({s}) AS mn, max({s}) AS mx FROM {name})) b
@@ -350,7 +350,7 @@ Q["evidence_flag"] = f"WITH {PANEL}\n" + union(
     ]
 )
 Q["relationship_sample"] = f"""WITH {HOLES}
-SELECT {iso("ts")} AS timestamp, CAST(entity AS VARCHAR) AS entity, {", ".join(f"round({s}, 3) AS {s}" for s in SENSORS)}
+SELECT {iso("ts")} AS timestamp, CAST(entity AS VARCHAR) AS entity, {", ".join(f"{tidy(s, 3)} AS {s}" for s in SENSORS)}
 FROM (SELECT * FROM panel WHERE s1 IS NOT NULL
       ORDER BY md5(concat_ws('|', '42', CAST(entity AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))) LIMIT 2500)"""
 Q["missing_by_column"] = f"WITH {HOLES}\n" + union(
