@@ -212,19 +212,25 @@ def _acrosser(low: float, threshold: float):
 # --- the graph ------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cls, component) of classes with links: the smallest class reachable. Labels of neighbours
-    are taken, then labels of labels, until nothing changes."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(cls, component) of classes with links: the smallest class reachable. In each round a class
+    takes the smallest label of its neighbours, then the label of that label, until nothing changes.
+
+    After a fixed number of ``rounds`` classes of one label are connected, but some components may
+    still have several labels; that is enough to pass over pairs.
+    """
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("component")))
-    while True:
-        offers = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.min("component").alias("offer"))
-        taken = labels.join(offers.withColumnRenamed("a", "cls"), "cls").select("cls", "component", F.least("component", "offer").alias("next"))
+    done = 0
+    while rounds is None or done < rounds:
+        heard = both.join(labels.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("cls"), "component", F.lit(None).cast("long").alias("old"))
+        taken = heard.union(labels.withColumn("old", F.col("component"))).groupBy("cls").agg(F.min("component").alias("next"), F.max("old").alias("old"))
         jump = labels.select(F.col("cls").alias("next"), F.col("component").alias("beyond"))
-        moved = checkpoint(taken.join(jump, "next").select("cls", "component", F.least("next", "beyond").alias("then")))
-        labels = moved.select("cls", F.col("then").alias("component"))
-        if moved.filter(F.col("then") != F.col("component")).isEmpty():
-            return labels
+        moved = checkpoint(taken.join(jump, "next").select("cls", F.least("next", "beyond").alias("component"), "old"))
+        labels, done = moved.drop("old"), done + 1
+        if rounds is None and moved.filter(F.col("component") != F.col("old")).isEmpty():
+            break
+    return labels
 
 
 def _candidate_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -317,7 +323,7 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     checked = similarities(pairs, sets, percent)
 
     # 2. Buckets that still hold several components: all pairs across them that may be linked.
-    labels = components(checked.filter("linked"))
+    labels = components(checked.filter("linked"), rounds=2)
     asked = _across(members, labels, _anchors(checked, signatures), _acrosser(low, threshold))
     rest = similarities(asked.join(checked, ["a", "b"], "left_anti"), sets, percent)
     return checked.union(rest).filter("linked").select("a", "b")
