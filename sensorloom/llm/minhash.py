@@ -278,11 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     of such rows only has a null id and keeps none. Rows that repeat the smallest id are all kept. An
     empty table gives no rows; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sign = per_text(docs.sparkSession, _signer(width), _SIGNED)
-    signed = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*"))
-    links = _links(docs, signed, width, percent)
-    labels = components(links)
+    signed, labels = _labelled(docs.select("doc_id", "text", F.lit(None).cast("long").alias("row")), width, percent)
     least = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     # Classes without links are their own component, so only linked ones meet their labels.
     named = least.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -293,6 +289,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, row, text_hash and the signature) and the components of linked classes."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.coalesce("text", F.lit("")).alias("text"))
+    sign = per_text(docs.sparkSession, _signer(width), _SIGNED)
+    signed = checkpoint(docs.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), sign(F.col("text")).alias("s")).select("doc_id", "row", "text_hash", "s.*"))
+    return signed, components(_links(docs, signed, width, percent))
+
+
 def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links between classes, enough of them to give every component."""
     threshold, low = percent / 100, percent / 100 - MARGIN
@@ -354,9 +358,23 @@ def _across(members: DataFrame, labels: DataFrame, anchors: DataFrame, pick) ->
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their component, with their columns as they were. Rows without
-    doc_id cannot be named and stay only where they have no set."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias(fresh(docs, "kept_id"))).distinct()
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    name = kept.columns[0]
-    return docs.join(kept, docs["doc_id"] == kept[name], "left").filter(F.col(name).isNotNull() | (docs["doc_id"].isNull() & wordless)).drop(name)
+    """One text of each component, with its columns as they were, and every row whose text has no set.
+
+    The text with the smallest doc_id stays, where an id has several texts in a component one of them;
+    rows that repeat both id and text stay together. Where no row of a component has an id, one stays.
+    """
+    row, spot = fresh(docs, "row"), fresh(docs, "text_hash")
+    # Only rows without id need a key of their own; they are kept by it, so it must not change.
+    numbered = checkpoint(docs.filter("doc_id is null").withColumn(row, F.monotonically_increasing_id()))
+    identified = docs.filter("doc_id is not null")
+    both = identified.select("doc_id", "text", F.lit(None).cast("long").alias("row")).union(numbered.select("doc_id", "text", F.col(row).alias("row")))
+    signed, labels = _labelled(both, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "row")
+    best = signed.filter("cls is not null").groupBy("cls").agg(F.min(order).alias("best"))
+    best = best.join(labels, "cls", "left").groupBy(F.coalesce("component", "cls").alias("component")).agg(F.min("best").alias("best"))
+    kept = checkpoint(best.select("best.*").union(signed.filter("cls is null").select(order.alias("best")).select("best.*")))
+    ids = kept.filter("not late").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = kept.filter("late").select(F.col("row").alias(row))
+    hashed = identified.withColumn(spot, F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = hashed.join(ids, (hashed["doc_id"].cast("long") == ids["kept_id"]) & (hashed[spot] == ids["kept_hash"]), "left_semi")
+    return named.drop(spot).unionByName(numbered.join(rows, row, "left_semi").drop(row))

@@ -364,6 +364,17 @@ def test_near_duplicate_edges(spark, edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_text_of_each_group_stays_without_ids_too(spark):
+    near = WORDS.replace("w59", "other")
+    other, lone = WORDS.replace("w", "u"), WORDS.replace("w", "q")
+    rows = [(None, WORDS, "s"), (None, WORDS, "s"), (None, near, "s"), (None, lone, "s"), (None, None, "s")]
+    rows += [(9, other, "s"), (None, other, "s"), (2, other + " end", "s"), (9, WORDS.replace("w", "k"), "s")]
+    rows += [(20, WORDS.replace("w", "m"), "s"), (20, WORDS.replace("w", "m") + " end", "s")]
+    kept = minhash.drop_near_duplicates(documents(spark, rows, ("row", "text_hash", "kept_id"))).collect()
+    found = Counter((r.doc_id, (r.text or "-").split()[0][0]) for r in kept)
+    assert found == {(None, "w"): 1, (None, "q"): 1, (None, "-"): 1, (2, "u"): 1, (9, "k"): 1, (20, "m"): 1}
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(10)
     errors = []
