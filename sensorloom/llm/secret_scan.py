@@ -25,6 +25,8 @@ MAX_FINDINGS = 800
 RECALL = 0.98
 BEFORE, INSIDE, AFTER = 16, 48, 16
 WIDTH, EMBEDDING, FILTERS, SPAN = BEFORE + INSIDE + AFTER, 8, 24, 5
+# Windows along a longer candidate, and how many of one finding the fitting reads; the scan reads all.
+STRIDE, FITTED = INSIDE // 2, 64
 MASK = "[secret]"
 
 # Fixed patterns of the base kinds.
@@ -67,17 +69,31 @@ def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
 
 
-def window(text: str, start: int, end: int) -> str:
-    """What the network sees: characters before, the first ones of the candidate, and those after."""
-    before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    return before + text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+def window(text: str, start: int, end: int, most: int | None = None) -> str:
+    """What the network sees of a candidate: one window or, where it is longer than INSIDE, overlapping
+    ones along all of it, one after the other. ``most`` spreads so many over it instead."""
+    last = max(start, end - INSIDE)
+    places = [*range(start, last, STRIDE), last]
+    if most and len(places) > most:
+        places = [places[i * (len(places) - 1) // (most - 1)] for i in range(most)]
+    windows = []
+    for at in places:
+        stop = min(end, at + INSIDE)
+        windows.append(text[max(0, at - BEFORE) : at].rjust(BEFORE, "\0") + text[at:stop].ljust(INSIDE, "\0") + text[stop : stop + AFTER].ljust(AFTER, "\0"))
+    return "".join(windows)
 
 
 def _codes(windows: list[str]) -> np.ndarray:
-    points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(windows), WIDTH)
+    """One row per window; a finding may have several."""
+    points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, WIDTH)
     return np.where(points == 0, 0, _CODES[points])
 
 
+def _starts(windows: list[str]) -> np.ndarray:
+    """The row of the first window of each finding."""
+    return np.cumsum([0, *(len(w) // WIDTH for w in windows[:-1])])
+
+
 # --- the network -----------------------------------------------------------------------------
 
 
@@ -93,8 +109,12 @@ class SecretNet:
     threshold: float = 0.5
 
     def logits(self, windows: list[str]) -> np.ndarray:
-        parts = [_forward(self, _codes(windows[i : i + 256]))[0] for i in range(0, len(windows), 256)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+        """The highest logit among the windows of each finding."""
+        if not windows:
+            return np.zeros(0)
+        codes = _codes(windows)
+        parts = [_forward(self, codes[i : i + 256])[0] for i in range(0, len(codes), 256)]
+        return np.maximum.reduceat(np.concatenate(parts), _starts(windows))
 
     def scores(self, windows: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(windows) + self.offset, -30, 30)))
@@ -129,18 +149,22 @@ def _gradients(net: SecretNet, held, error: np.ndarray) -> list[np.ndarray]:
 
 
 def train(windows: list[str], labels: list[int], seed: int = 7, epochs: int = 12, batch: int = 64) -> SecretNet:
-    """Adam on the logistic loss, both classes with equal weight."""
+    """Adam on the logistic loss, both classes with equal weight; a finding counts by its highest window."""
     rng = np.random.default_rng(seed)
     values = [rng.normal(0, 0.3, (_SYMBOLS, EMBEDDING)), rng.normal(0, 0.15, (SPAN * EMBEDDING, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), np.array(0.0)]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     codes, wanted = _codes(windows), np.array(labels, float)
+    first_row, n_rows = _starts(windows), np.array([len(w) // WIDTH for w in windows])
     weight = np.where(wanted == 1, 0.5 / max(1, wanted.sum()), 0.5 / max(1, (1 - wanted).sum())) * len(wanted)
     for _ in range(epochs):
         order = rng.permutation(len(wanted))
         for start in range(0, len(order), batch):
             some = order[start : start + batch]
             net = SecretNet(*values[:4], float(values[4]))
-            logit, held = _forward(net, codes[some])
+            rows = first_row[some]
+            for i in np.flatnonzero(n_rows[some] > 1):
+                rows[i] += int(_forward(net, codes[rows[i] : rows[i] + n_rows[some[i]]])[0].argmax())
+            logit, held = _forward(net, codes[rows])
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - wanted[some]) * weight[some] / len(some)
             step += 1
             for i, gradient in enumerate(_gradients(net, held, error)):
@@ -174,6 +198,8 @@ def _variations(contexts: list[str], rng: np.random.Generator, n: int) -> tuple[
         before, after = around[: rng.integers(0, BEFORE + 1)][-BEFORE:], around[-AFTER:]
         word = pick(alnum[:26], int(rng.integers(4, 10)))
         keys = [pick(alnum, int(rng.integers(20, 45))), "gh" + pick("pousr", 1) + "_" + pick(alnum, 36), pick("0123456789abcdef", int(rng.integers(24, 32))), "xoxb-" + pick(alnum[-10:], 12) + "-" + pick(alnum, 24)]
+        path = "/".join(pick(alnum[:26], int(rng.integers(3, 10))) for _ in range(int(rng.integers(6, 12)))) + f"/{pick(alnum[-10:], 4)}/"
+        keys += [path + keys[0], keys[0] + "/" + path]
         plain = [
             pick(alnum[-10:], 16),
             f"{word}.{pick(alnum[-10:], 2)}@{word}{pick(alnum[-10:], 1)}.example.com",
@@ -181,6 +207,7 @@ def _variations(contexts: list[str], rng: np.random.Generator, n: int) -> tuple[
             f"www.{word}.com/{word}/{pick(alnum[-10:], 4)}",
             f"20{pick('012', 2)}-0{pick('123456789', 1)}-{pick('12', 2)}T0{pick('0123456789', 1)}.{pick('012345', 2)}",
             word * 3 + pick(alnum[-10:], 1),
+            path + word,
         ]
         label = int(i % 2)
         run = keys[int(rng.integers(len(keys)))] if label else plain[int(rng.integers(len(plain)))]
@@ -197,7 +224,7 @@ def _findings(texts: list[str]) -> Iterable[tuple]:
     for text in texts:
         base = base_spans(text)
         others = other_runs(text, base)
-        yield [window(text, a, b) for a, b, _ in base] + [window(text, a, b) for a, b in others], [1] * len(base) + [0] * len(others)
+        yield [window(text, a, b, FITTED) for a, b, _ in base] + [window(text, a, b, FITTED) for a, b in others], [1] * len(base) + [0] * len(others)
 
 
 def learn(docs: DataFrame, max_findings: int = MAX_FINDINGS, recall: float = RECALL) -> SecretNet:

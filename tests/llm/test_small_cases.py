@@ -275,6 +275,31 @@ def test_gradients_match_differences():
         assert gradients[i][place] == pytest.approx(float(((changed - logit) * error).sum() / 1e-6), rel=1e-3, abs=1e-6)
 
 
+def secret_corpus(spark, extra=()):
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    rows = [(i, f"set password={''.join(rng.choice(list(ALNUM), 24))} here", "s") for i in range(150)]
+    rows += [(1000 + i, f"see data/exports/daily/{digits(4)}/region-{digits(2)}/tables/backup/part-{digits(5)}/archive/{digits(4)} today", "s") for i in range(150)]
+    return documents(spark, rows + list(extra))
+
+
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def test_secret_net_reads_whole_runs(spark):
+    path, key = "data/exports/daily/2024/region-12/tables/backup/part-0/", "Xk9QzT7vLm2Wp8Rj4Yb6Nc3Hd5Fg1Sa0Uq"
+    assert len(path) > secret_scan.INSIDE
+    windows = secret_scan.window(f"see {path}{key} today", 4, 4 + len(path + key))
+    assert len(windows) % secret_scan.WIDTH == 0 and len(windows) > secret_scan.WIDTH and key[-20:] in windows
+    net = secret_scan.learn(secret_corpus(spark))
+    # Different ends get different logits, and the key raises it.
+    plain = f"see {path}archive/daily/tables/2024-11 today"
+    plain_logit, key_logit = net.logits([secret_scan.window(t, 4, len(t) - 6) for t in (plain, f"see {path}{key} today")])
+    assert key_logit > plain_logit + 1
+    spans = next(iter(secret_scan._scanner(net)([f"see {path}{key} today"])))[0]
+    assert [s[0] for s in spans] == ["learned"]
+
+
 # --- 8 lines ------------------------------------------------------------------------------------
 
 
