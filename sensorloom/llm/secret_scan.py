@@ -34,8 +34,16 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.@-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
+_ANY_RUN = re.compile(r"[A-Za-z0-9+/_=.@-]+")
+_RUN_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.@-")
+_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+# Words beside which shorter runs are candidates, SHORT characters at least.
+_CUES = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "api", "access", "private", "auth")
+_CUE = re.compile(r"passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|bearer|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|auth(?![a-z]*or)", re.ASCII | re.IGNORECASE)
+SHORT, LONG = 4, 16
+# Whether a candidate is taught as harmless, or left open.
+HARMLESS, OPEN = 0, -1
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789=:\"'.-_/+@ \n"
 _CODES = np.ones(0x110000, np.uint8)
@@ -58,15 +66,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _may_hold_runs(text: str) -> bool:
-    """Cheap and never wrong about no: a long word with a digit, a very long one, or AKIA."""
-    return any(len(w) >= 16 and (len(w) >= 32 or _DIGIT.search(w)) for w in text.split()) or "AKIA" in text
-
-
-def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 characters or more with a letter and a digit or of digits, apart from base spans."""
-    if not _may_hold_runs(text):
-        return []
-    return [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    """Cheap and never wrong about no: a long word."""
+    return any(len(w) >= LONG for w in text.split())
+
+
+def _remainders(text: str, base: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """What base spans leave of the runs in which they stand."""
+    merged: list[list[int]] = []
+    for a, b, _ in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    found = set()
+    for i, (a, b) in enumerate(merged):
+        left, floor = a, merged[i - 1][1] if i else 0
+        while left > floor and text[left - 1] in _RUN_CHARS:
+            left -= 1
+        rest = _ANY_RUN.match(text, b, merged[i + 1][0] if i + 1 < len(merged) else len(text))
+        found |= {(left, a), rest.span() if rest else (b, b)}
+    return {(a, b) for a, b in found if _ALNUM.search(text, a, b)}
+
+
+def _beside_cues(text: str) -> set[tuple[int, int]]:
+    """Shorter runs in the sight of a cue; of a run that holds the cue, what is assigned in it."""
+    low, found = text.lower(), set()
+    if not any(cue in low for cue in _CUES):
+        return found
+    for cue in _CUE.finditer(text):
+        low_end, high_end = max(0, cue.start() - BEFORE - LONG), cue.end() + AFTER + LONG
+        for run in _ANY_RUN.finditer(text, low_end, high_end):
+            a, b = run.span()
+            cut = (a == low_end > 0 and text[a - 1] in _RUN_CHARS) or (b == high_end < len(text) and text[b] in _RUN_CHARS)
+            for inner in _CUE.finditer(text, a, b):
+                a = text.find("=", inner.end(), b) + 1 or b
+            if not cut and SHORT <= b - a < LONG and a - cue.end() <= AFTER and cue.start() - b <= BEFORE and _ALNUM.search(text, a, b):
+                found.add((a, b))
+    return found
+
+
+def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, HARMLESS or OPEN) of the candidates apart from base spans: runs of LONG characters or
+    more, shorter ones beside cues, and what base spans leave of a run. The last sort is open, as are
+    short runs that are no plain words."""
+    apart = lambda a, b: not any(x < b and a < y for x, y, _ in base)
+    found = {span: OPEN for span in _remainders(text, base)} if base else {}
+    for a, b in _beside_cues(text):
+        if apart(a, b):
+            found[a, b] = HARMLESS if _WORD.fullmatch(text, a, b) else OPEN
+    if _may_hold_runs(text):
+        found |= {m.span(): HARMLESS for m in _RUN.finditer(text) if _ALNUM.search(m[0]) and apart(*m.span())}
+    return sorted((a, b, label) for (a, b), label in found.items())
 
 
 def window(text: str, start: int, end: int, most: int | None = None) -> str:
@@ -210,6 +260,26 @@ def _variations(contexts: list[str], rng: np.random.Generator, n: int) -> tuple[
             path + word,
         ]
         label = int(i % 2)
+        kind = int(rng.integers(4))
+        if kind == 0:  # beside a cue
+            cue = ["password", "passwd", "secret", "token", "api key", "bearer", "pwd"][int(rng.integers(7))]
+            some = pick(alnum[:26], int(rng.integers(3, 8)))
+            if label or rng.random() < 0.5:
+                before = (before + " " + some + " " + cue + [" ", ": ", "=", " is ", " = "][int(rng.integers(5))])[-int(rng.integers(BEFORE - 6, 2 * BEFORE)) :]
+                after = [" " + some + " " + word, after, "\n", ""][int(rng.integers(4))]
+            else:
+                before = ["", "\n", some + " ", before + " "][int(rng.integers(4))]
+                after = [" ", " " + some + " "][int(rng.integers(2))] + cue + [" ", ": ", "=", " is ", " = "][int(rng.integers(5))] + ["", '"'][int(rng.integers(2))] + pick(alnum, 14)
+            keys = [pick(alnum, int(rng.integers(6, 16))), word + pick(alnum[-10:], int(rng.integers(1, 4)))]
+            plain = [word, word.capitalize(), pick(alnum[:26], int(rng.integers(4, 6)))]
+        elif kind == 1:  # what a base span leaves
+            before = "=" + pick(alnum, 12) if label else before
+            keys = [f"@{pick(alnum, int(rng.integers(6, 30)))}", pick(alnum, int(rng.integers(4, 20)))]
+            after = after if label else "_token=" + pick(alnum, 9)
+            plain = [f"{word}_", word, f"{word}/{word}/"]
+        elif kind == 2:  # letters only
+            keys = [pick(alnum[:52], int(rng.integers(16, 45)))]
+            plain = [f"{word}/{pick(alnum[:26], 6)}/{word}.html", f"{word}-{pick(alnum[:26], 5)}-{pick(alnum[:26], 7)}", f"{word}{pick('aeiou', 1)}{word}{pick('aeiou', 1)}n", f"{word}.{pick(alnum[:26], 6)}@{word}.example.com"]
         run = keys[int(rng.integers(len(keys)))] if label else plain[int(rng.integers(len(plain)))]
         text = before + run + after
         windows.append(window(text, len(before), len(before) + len(run)))
@@ -223,8 +293,8 @@ _FINDING = T.StructType([T.StructField("windows", T.ArrayType(T.StringType())),
 def _findings(texts: list[str]) -> Iterable[tuple]:
     for text in texts:
         base = base_spans(text)
-        others = other_runs(text, base)
-        yield [window(text, a, b, FITTED) for a, b, _ in base] + [window(text, a, b, FITTED) for a, b in others], [1] * len(base) + [0] * len(others)
+        taught = [(a, b, 1) for a, b, _ in base] + [x for x in other_runs(text, base) if x[2] != OPEN]
+        yield [window(text, a, b, FITTED) for a, b, _ in taught], [label for _, _, label in taught]
 
 
 def learn(docs: DataFrame, max_findings: int = MAX_FINDINGS, recall: float = RECALL) -> SecretNet:
@@ -240,7 +310,7 @@ def learn(docs: DataFrame, max_findings: int = MAX_FINDINGS, recall: float = REC
     sample = few.filter("label = 1").orderBy(F.xxhash64("window"), "window").limit(max_findings).union(few.filter("label = 0").orderBy(F.xxhash64("window"), "window").limit(max_findings)).collect()
     rng = np.random.default_rng(11)
     windows, labels = [r["window"] for r in sample], [int(r["label"]) for r in sample]
-    made, kinds = _variations(sorted(windows), rng, max(600, len(windows)))
+    made, kinds = _variations(sorted(windows), rng, max(2400, len(windows)))
     windows, labels = windows + made, labels + kinds
     order = rng.permutation(len(windows))
     kept, seen = order[: len(order) // 4], order[len(order) // 4 :]
@@ -262,7 +332,7 @@ def _scanner(net: SecretNet):
             if not base and not others:
                 yield [], None
                 continue
-            candidates = base + [(a, b, 3) for a, b in others]
+            candidates = base + [(a, b, 3) for a, b, _ in others]
             scores = net.scores([window(text, a, b) for a, b, _ in candidates])
             chosen = sorted((a, kind, b, float(s)) for (a, b, kind), s in zip(candidates, scores) if kind < 3 or s >= net.threshold)
             pieces, at = [], 0

@@ -300,6 +300,26 @@ def test_secret_net_reads_whole_runs(spark):
     assert [s[0] for s in spans] == ["learned"]
 
 
+def test_candidates_beside_base_spans_and_cues():
+    def runs(text):
+        return [text[a:b] for a, b, _ in secret_scan.other_runs(text, secret_scan.base_spans(text))]
+
+    assert runs("password=abcdefgh@12SecretTail99") == ["@12SecretTail99"]
+    assert runs("token = abcdefgh@12 x") == ["@12"]
+    assert runs("key Zz" + "deadbeef" * 4 + "Qq" + "deadbeef" * 4 + "-end") == ["Zz", "Qq", "-end"]
+    assert runs("QwErTyUiOpAsDfGhJkLz") == ["QwErTyUiOpAsDfGhJkLz"]
+    assert runs("password: hunt3r2 or pwd=ab12x") == ["hunt3r2", "ab12x"]
+    assert runs("hunt3r2 here") == [] and runs("plain words " * 30) == [] and runs("=" * 40) == []
+
+
+def test_secret_tails_letters_and_short_keys_are_found(spark):
+    prose = [(3000 + i, f"the secret {w} of the {w} and a bearer {w} with token {w} there", "s") for i, w in enumerate(["garden", "message", "history", "people", "service", "number"] * 20)]
+    scan = secret_scan._scanner(secret_scan.learn(secret_corpus(spark, prose)))
+    texts = ["set password=abcdefgh@12SecretTail99x now", "use QwXrTyZiPpAsDfGhJkLzVbNm now", "login with password: kX7pQ2z and", prose[0][1]]
+    found = [[t[s[1] : s[2]] for s in spans if s[0] == "learned"] for t, (spans, _) in zip(texts, scan(texts))]
+    assert found == [["@12SecretTail99x"], ["QwXrTyZiPpAsDfGhJkLzVbNm"], ["kX7pQ2z"], []]
+
+
 # --- 8 lines ------------------------------------------------------------------------------------
 
 
