@@ -2,8 +2,8 @@
 
 Fixed patterns find base secrets, which always stay. Other runs that look random are candidates,
 and the network decides on them. It is trained in numpy on findings labelled by the patterns and on
-variations of them, calibrated on findings it has not seen, and its threshold is the highest one that
-keeps the wanted recall there.
+variations of them; calibration and threshold come from all labelled findings of the corpus and made-up
+ones it has not seen. The threshold is the highest one that keeps the wanted recall on both.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ _ALNUM = re.compile(r"[A-Za-z0-9]")
 _CUES = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "api", "access", "private", "auth")
 _CUE = re.compile(r"passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|bearer|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|auth(?![a-z]*or)", re.ASCII | re.IGNORECASE)
 SHORT, LONG = 4, 16
+# Keys of known formats are secrets, but not of a base kind.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|sk-|[spr]k_(?:live|test)_|whsec_|AIza|ya29[.]|eyJ|SG[.]|npm_|pypi-|hf_|dop_v1_|shp(?:at|ca|pa|ss)_|A(?:SIA|KIA|IDA|ROA|GPA|IPA|NPA|NVA)[A-Z0-9])", re.ASCII)
 # Whether a candidate is taught as harmless, or left open.
 HARMLESS, OPEN = 0, -1
 
@@ -108,7 +110,7 @@ def _beside_cues(text: str) -> set[tuple[int, int]]:
 def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, HARMLESS or OPEN) of the candidates apart from base spans: runs of LONG characters or
     more, shorter ones beside cues, and what base spans leave of a run. The last sort is open, as are
-    short runs that are no plain words."""
+    short runs that are no plain words and runs with the start of a known key format."""
     apart = lambda a, b: not any(x < b and a < y for x, y, _ in base)
     found = {span: OPEN for span in _remainders(text, base)} if base else {}
     for a, b in _beside_cues(text):
@@ -116,7 +118,7 @@ def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             found[a, b] = HARMLESS if _WORD.fullmatch(text, a, b) else OPEN
     if _may_hold_runs(text):
         found |= {m.span(): HARMLESS for m in _RUN.finditer(text) if _ALNUM.search(m[0]) and apart(*m.span())}
-    return sorted((a, b, label) for (a, b), label in found.items())
+    return sorted((a, b, OPEN if _KNOWN.search(text, a, b) else label) for (a, b), label in found.items())
 
 
 def window(text: str, start: int, end: int, most: int | None = None) -> str:
@@ -224,18 +226,33 @@ def train(windows: list[str], labels: list[int], seed: int = 7, epochs: int = 12
     return SecretNet(*values[:4], float(values[4]))
 
 
-def _calibrated(net: SecretNet, windows: list[str], labels: list[int], recall: float) -> SecretNet:
-    """Platt scaling, then the highest threshold with the wanted recall on these findings."""
-    x, y = net.logits(windows), np.array(labels, float)
+# Logits are counted in bins of 1/PER up to REACH on both sides.
+PER, REACH = 64, 32
+BINS = 2 * PER * REACH
+
+
+def _bins(logits: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((logits + REACH) * PER), 0, BINS - 1).astype(np.int64)
+
+
+def _calibrated(net: SecretNet, counts: list[np.ndarray], recall: float) -> SecretNet:
+    """Platt scaling on the sum of ``counts`` (two rows of bins each: harmless ones, secrets), then the
+    highest threshold with the wanted recall on each of them."""
+    total = np.sum(counts, axis=0).astype(float)
+    weight, x = total / total.sum(), (np.arange(BINS) + 0.5) / PER - REACH
     slope, offset = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        slope -= 0.05 * float(((p - y) * x).mean() + 1e-3 * slope)
-        offset -= 0.05 * float((p - y).mean())
-    fitted = SecretNet(net.embedding, net.kernel, net.shift, net.dense, net.bias, slope, offset)
-    found = np.sort(fitted.scores([w for w, label in zip(windows, labels) if label]))
-    place = min(len(found) - 1, int((1 - recall) * len(found)))
-    return SecretNet(net.embedding, net.kernel, net.shift, net.dense, net.bias, slope, offset, float(found[place]))
+        error = weight[0] * p + weight[1] * (p - 1)
+        slope = max(slope - 0.05 * float((error * x).sum() + 1e-3 * slope), 1e-2)
+        offset -= 0.05 * float(error.sum())
+    lowest = BINS - 1
+    for _, secrets in counts:
+        if secrets.sum():
+            above = np.cumsum(secrets[::-1])[::-1]
+            lowest = min(lowest, int(np.flatnonzero(above >= recall * secrets.sum()).max()))
+    threshold = 1 / (1 + np.exp(-np.clip(slope * (lowest / PER - REACH) + offset, -30, 30)))
+    return SecretNet(net.embedding, net.kernel, net.shift, net.dense, net.bias, slope, offset, float(threshold))
 
 
 def _variations(contexts: list[str], rng: np.random.Generator, n: int) -> tuple[list[str], list[int]]:
@@ -290,15 +307,44 @@ def _variations(contexts: list[str], rng: np.random.Generator, n: int) -> tuple[
 _FINDING = T.StructType([T.StructField("windows", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))])
 
 
+def _labelled(text: str) -> list[tuple[int, int, int]]:
+    base = base_spans(text)
+    return [(a, b, 1) for a, b, _ in base] + [x for x in other_runs(text, base) if x[2] != OPEN]
+
+
 def _findings(texts: list[str]) -> Iterable[tuple]:
     for text in texts:
-        base = base_spans(text)
-        taught = [(a, b, 1) for a, b, _ in base] + [x for x in other_runs(text, base) if x[2] != OPEN]
+        taught = _labelled(text)
         yield [window(text, a, b, FITTED) for a, b, _ in taught], [label for _, _, label in taught]
 
 
+_BINNED = T.StructType([T.StructField("bins", T.ArrayType(T.LongType()))])
+
+
+def _binner(net: SecretNet):
+    """Bins of the logits of all labelled findings, those of secrets BINS higher."""
+
+    def binned(texts: list[str]) -> Iterable[tuple]:
+        for text in texts:
+            taught = _labelled(text)
+            yield (((_bins(net.logits([window(text, a, b) for a, b, _ in taught])) + BINS * np.array([x[2] for x in taught])).tolist() if taught else []),)
+
+    return binned
+
+
+def _corpus_counts(docs: DataFrame, net: SecretNet) -> np.ndarray:
+    """How many labelled findings of the whole corpus fall into each bin."""
+    bins = per_text(docs.sparkSession, _binner(net), _BINNED)
+    rows = docs.select(bins(F.col("text")).alias("b")).select(F.explode("b.bins").alias("bin")).groupBy("bin").count().collect()
+    counts = np.zeros(2 * BINS, np.int64)
+    for r in rows:
+        counts[r["bin"]] = r["count"]
+    return counts.reshape(2, BINS)
+
+
 def learn(docs: DataFrame, max_findings: int = MAX_FINDINGS, recall: float = RECALL) -> SecretNet:
-    """A network from at most ``max_findings`` labelled findings of each sort and as many variations.
+    """A network fitted on at most ``max_findings`` labelled findings of each sort and on made-up ones, and
+    calibrated on every labelled finding of ``docs`` and made-up ones it has not seen.
 
     Every document is searched; without any finding the variations alone teach.
     """
@@ -311,11 +357,10 @@ def learn(docs: DataFrame, max_findings: int = MAX_FINDINGS, recall: float = REC
     rng = np.random.default_rng(11)
     windows, labels = [r["window"] for r in sample], [int(r["label"]) for r in sample]
     made, kinds = _variations(sorted(windows), rng, max(2400, len(windows)))
-    windows, labels = windows + made, labels + kinds
-    order = rng.permutation(len(windows))
-    kept, seen = order[: len(order) // 4], order[len(order) // 4 :]
-    net = train([windows[i] for i in seen], [labels[i] for i in seen])
-    return _calibrated(net, [windows[i] for i in kept], [labels[i] for i in kept], recall)
+    n = len(made) // 4
+    net = train(windows + made[n:], labels + kinds[n:])
+    unseen = np.bincount(_bins(net.logits(made[:n])) + BINS * np.array(kinds[:n]), minlength=2 * BINS).reshape(2, BINS)
+    return _calibrated(net, [_corpus_counts(docs, net), unseen], recall)
 
 
 # --- the scan -----------------------------------------------------------------------------------

@@ -320,6 +320,22 @@ def test_secret_tails_letters_and_short_keys_are_found(spark):
     assert found == [["@12SecretTail99x"], ["QwXrTyZiPpAsDfGhJkLzVbNm"], ["kX7pQ2z"], []]
 
 
+def test_secret_threshold_covers_all_findings(spark):
+    docs = secret_corpus(spark, [(5000, "use ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0dF3gH6 and eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0 now", "s")])
+    net = secret_scan.learn(docs, max_findings=10)
+    counts = secret_scan._corpus_counts(docs, net)
+    assert counts.sum(axis=1).tolist() == [150, 150]  # the known formats are no harmless runs
+    texts = [r.text for r in docs.collect()]
+    scores = [net.scores([secret_scan.window(t, a, b)])[0] for t in texts for a, b, _ in secret_scan.base_spans(t)]
+    assert np.mean(np.array(scores) >= net.threshold) >= secret_scan.RECALL
+    # A share of 5% below the rest holds the threshold down, whether or not fitting has seen it.
+    high, low = secret_scan._bins(np.array([8.0, -4.0]))
+    corpus, made = np.zeros((2, 2, secret_scan.BINS), np.int64)
+    corpus[1, high], corpus[1, low], corpus[0, 0], made[1, high] = 95, 5, 100, 10
+    fitted = secret_scan._calibrated(net, [corpus, made], 0.98)
+    assert fitted.threshold <= 1 / (1 + np.exp(4 * fitted.slope - fitted.offset)) < 0.5
+
+
 # --- 8 lines ------------------------------------------------------------------------------------
 
 
