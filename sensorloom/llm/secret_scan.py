@@ -37,6 +37,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=.@-]{16,}")
 _ANY_RUN = re.compile(r"[A-Za-z0-9+/_=.@-]+")
 _RUN_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.@-")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_DIGIT = re.compile(r"[0-9]")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 # Words beside which shorter runs are candidates, SHORT characters at least.
 _CUES = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "api", "access", "private", "auth")
@@ -61,15 +62,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-    if _may_hold_runs(text):
+    if _may_hold_keys(text):
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
         found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
     return sorted(found)
 
 
+def _may_hold_keys(text: str) -> bool:
+    """Cheap and never wrong about no: a long word with a digit, a very long one, or AKIA."""
+    return any(len(w) >= 16 and (len(w) >= 32 or _DIGIT.search(w)) for w in text.split()) or "AKIA" in text
+
+
 def _may_hold_runs(text: str) -> bool:
     """Cheap and never wrong about no: a long word."""
-    return any(len(w) >= LONG for w in text.split())
+    return max(map(len, text.split()), default=0) >= LONG
 
 
 def _remainders(text: str, base: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
