@@ -140,6 +140,56 @@ FROM j
 """
 
 
+def interleaved_crawls(spark, folder):
+    """Two responses and three revisits of each page, whose times interleave over all pages: some revisits
+    come before any response, others between the two, whose bodies and tags differ."""
+    pages = table(spark, folder, "pages")
+    at = lambda k: (F.col("page_id") * 7919 + k * 104_729 + (F.col("page_id") % 13) * k * 3571) % 1009
+    tag = lambda k: F.concat(F.md5("html"), F.lit(f"-{k}"))
+    full = [
+        pages.select(
+            (F.col("page_id") * 5 + k).alias("record_id"), "url", at(k).alias("at"), F.lit(200).alias("status"), tag(k).alias("etag"), F.lit(f"day {k}").alias("last_modified"),
+            F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("x-crawl"), F.lit(str(k))).alias("headers"), F.sha2(F.concat("html", F.lit(f"-{k}")), 256).alias("body_sha256"),
+        )
+        for k in range(2)
+    ]
+    revisits = [
+        pages.select(
+            (F.col("page_id") * 5 + k).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), at(k).alias("at"), F.lit(304).alias("status"),
+            (F.concat(F.lit("W/"), tag(k - 2)) if k < 4 else F.lit(None).cast("string")).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+            F.create_map(F.lit("content-length"), F.lit("0"), F.lit("age"), F.lit(str(k))).alias("headers"), F.lit(None).cast("string").alias("body_sha256"),
+        )
+        for k in range(2, 5)
+    ]
+    return full[0].unionByName(full[1]).unionByName(revisits[0]).unionByName(revisits[1]).unionByName(revisits[2])
+
+
+@query
+def op5_warc_revisits_as_of(spark, folder):
+    found = warc.resolve_revisits(interleaved_crawls(spark, folder))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.withColumn("headers", F.when(F.col("resolved"), F.array_join(entries, ";")))
+
+
+ORACLE["op5_warc_revisits_as_of"] = r"""
+WITH p AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+q AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]|:(80|443)$', '', 'g') AS host, regexp_extract(bare, '^[^/?]*(/[^?]*)', 1) AS path,
+             list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|utm_[a-z]+|fbclid|gclid)(=|$)'))) AS args FROM p),
+c AS (SELECT page_id, html, host || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN len(args) = 0 THEN '' ELSE '?' || array_to_string(args, '&') END) AS k FROM q),
+r AS (SELECT page_id * 5 + n AS id, k, html, n, (page_id * 7919 + n * 104729 + (page_id % 13) * n * 3571) % 1009 AS at FROM c, (VALUES (0), (1), (2), (3), (4)) AS t(n)),
+j AS (SELECT v.id, v.k, v.n, max((f.at, f.id)) AS latest FROM r v LEFT JOIN r f ON f.n < 2 AND f.k = v.k AND (f.at < v.at OR (f.at = v.at AND f.id < v.id)) WHERE v.n >= 2 GROUP BY ALL),
+m AS (SELECT j.*, f.id AS old, f.n AS old_n, f.html AS old_html,
+             f.id IS NOT NULL AND (j.n = 4 OR md5(v.html) || '-' || (j.n - 2) = md5(f.html) || '-' || f.n) AS ok
+      FROM j JOIN r v ON v.id = j.id LEFT JOIN r f ON f.id = j.latest[2])
+SELECT id AS record_id, k AS canonical_url, CASE WHEN ok THEN old END AS original_id, ok AS resolved,
+       CASE WHEN old IS NULL THEN 'no original' WHEN ok THEN 'matched' ELSE 'changed' END AS reason,
+       CASE WHEN ok THEN sha256(old_html || '-' || old_n) END AS body_sha256,
+       CASE WHEN ok THEN 'age=' || n || ';content-type=text/html;x-crawl=' || old_n END AS headers
+FROM m
+"""
+
+
 @query
 def op6_exact_dedup(spark, folder):
     return exact.exact_dedup(table(spark, folder, "documents"))

@@ -7,10 +7,14 @@ stored response answers it, with those headers of the revisit that may replace s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..settings import checkpoint
+
 # Headers that describe the stored body or one connection: a revisit never replaces them.
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -18,7 +22,7 @@ KEPT_HEADERS = (
 )
 # Parameters that do not change what a page shows.
 IGNORED_PARAMETERS = "^(ref|utm_[a-z]+|fbclid|gclid)(=|$)"
-# Records of one URL that one task orders; longer histories are cut along time.
+# Records of one URL that one task orders; longer histories are cut into slices of about as many.
 MAX_HISTORY = 100_000
 
 
@@ -43,19 +47,34 @@ def latest_full_response(records: DataFrame, max_history: int = MAX_HISTORY) ->
     """``records`` (url_key, at, record_id, full, stored) with ``before``: what the latest earlier full
     response of its ``url_key`` stored, order being (at, record_id).
 
-    A window per URL would put a whole history into one task, so histories are cut into slices of
-    time; what a slice starts with is the last full response of those before it.
+    A window per URL would put a whole history into one task, so histories of more than ``max_history``
+    records are cut into slices of about that many; what a slice starts with is the last full response
+    of those before it.
     """
-    bounds = records.groupBy("url_key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    slices = F.ceil(F.col("n") / max_history)
-    place = F.floor((F.col("at") - F.col("first")) / (F.col("last") - F.col("first") + 1) * slices).cast("long")
-    sliced = records.join(bounds, "url_key").withColumn("slice", F.coalesce(place, F.lit(0).cast("long"))).drop("n", "first", "last")
+    sizes = records.groupBy("url_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_history)
+    total = sizes.agg(F.sum("n")).first()[0]
+    order = Window.partitionBy("url_key").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda along: F.last(F.when(F.col("full"), F.col("stored")), True).over(along)
+    if not total:
+        return records.withColumn("before", before(order))
+    crowded = F.broadcast(checkpoint(sizes.select("url_key")))
+    few = records.join(crowded, "url_key", "left_anti").withColumn("before", before(order))
+    sliced = cut_by_rows(records.join(crowded, "url_key", "left_semi"), total, max_history)
     ends = sliced.filter("full").groupBy("url_key", "slice").agg(F.max_by("stored", F.struct("at", "record_id")).alias("end"))
     along = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sliced.select("url_key", "slice").distinct().join(ends, ["url_key", "slice"], "left").select("url_key", "slice", F.last("end", True).over(along).alias("carried"))
     inside = Window.partitionBy("url_key", "slice").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = sliced.withColumn("near", F.last(F.when(F.col("full"), F.col("stored")), True).over(inside))
-    return found.join(starts, ["url_key", "slice"]).withColumn("before", F.coalesce("near", "carried")).drop("near", "carried", "slice")
+    found = sliced.withColumn("near", before(inside)).join(starts, ["url_key", "slice"])
+    return few.unionByName(found.withColumn("before", F.coalesce("near", "carried")).drop("near", "carried", "slice"))
+
+
+def cut_by_rows(records: DataFrame, total: int, max_history: int) -> DataFrame:
+    """``records`` with ``slice``: quantiles of their rows by (url_key, at, record_id), so that bursts and
+    equal times are cut too."""
+    slices = math.ceil(total / max_history) + 1
+    ranged = records.repartitionByRange(slices, "url_key", "at", "record_id")
+    # The cuts come from a sample, so they are fixed before anything depends on them.
+    return checkpoint(ranged.withColumn("slice", F.spark_partition_id()))
 
 
 def resolve_revisits(records: DataFrame, max_history: int = MAX_HISTORY) -> DataFrame:

@@ -203,6 +203,16 @@ def test_revisits_match_brute_force(spark, history):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_bursts_of_one_url_are_cut_by_rows(spark):
+    # All responses at first, all revisits long after, a third of them at one time.
+    rows = [("u", i % 50 if i < 3000 else 10**12 + (i % 40 if i % 3 else 0), i, i < 3000, i) for i in range(6000)]
+    records = spark.createDataFrame(rows, "url_key string, at long, record_id long, full boolean, stored long").repartition(4)
+    sizes = [r["count"] for r in warc.cut_by_rows(records, 6000, 500).groupBy("slice").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 1000
+    found = {r.record_id: r.before for r in warc.latest_full_response(records, 500).collect()}
+    assert len(found) == 6000 and {found[i] for i in range(3000, 6000)} == {2999} and found[0] is None and found[1] == 2950
+
+
 # --- 6 exact copies ---------------------------------------------------------------------------
 
 
