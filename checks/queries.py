@@ -28,7 +28,7 @@ from sensorloom.plans.report import report_tables
 from sensorloom.settings import MAX_DISTINCT, MAX_GROUP_ROWS, shared_folder
 from sensorloom.sources.files import read_panel, write_csv_report, write_panel
 from sensorloom.sources.tables import LIVE, PANEL, live_raw, panel, panel_raw, table
-from sensorloom.streaming.live import map_live, resample_median, stream_resampled
+from sensorloom.streaming.live import await_resampled, map_live, resample_median, stream_resampled
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -536,7 +536,7 @@ def resample_stream(spark, folder):
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
         .select(F.col("user_id").alias("entity"), "ts", "value", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
     )
-    stream_resampled(stream, LIVE, f"{base}/out", f"{base}/state").awaitTermination()
+    await_resampled(stream_resampled(stream, LIVE, f"{base}/out", f"{base}/state", watermark="1 hour"))
     found = spark.read.parquet(f"{base}/out")
     return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), {"value": 4})
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -136,11 +138,13 @@ def stream_resampled(
     path: str,
     checkpoint_path: str,
     frequency: str = "1 hour",
-    watermark: str = "1 hour",
+    *,
+    watermark: str,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append closed windows of a stream to a Parquet folder.
 
+    Rows later than ``watermark`` are dropped; ``await_resampled`` counts what they would have changed.
     ``checkpoint_path`` must be storage that every executor can reach.
     """
     writer = (
@@ -151,3 +155,24 @@ def stream_resampled(
         .option("checkpointLocation", checkpoint_path)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def await_resampled(query: StreamingQuery, seconds: float | None = None) -> int:
+    """Waits until ``query`` ends (or ``seconds`` are over) and returns how many late groups the watermark
+    dropped since the call, with a warning if there are any; rows of one entity, window and batch are one
+    group.
+
+    Progress is read every half second, as Spark keeps that of a hundred batches only.
+    """
+    dropped, seen, until = 0, "", None if seconds is None else time.monotonic() + seconds
+    while True:
+        over = query.awaitTermination(0.5) or (until is not None and time.monotonic() >= until)
+        for progress in query.recentProgress:
+            if progress["timestamp"] > seen:
+                seen = progress["timestamp"]
+                dropped += sum(s["numRowsDroppedByWatermark"] for s in progress["stateOperators"])
+        if over:
+            break
+    if dropped:
+        warnings.warn(f"The watermark dropped {dropped} late groups.", stacklevel=2)
+    return dropped

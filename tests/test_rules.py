@@ -24,7 +24,7 @@ from sensorloom.sources.files import read_panel, table_format, with_arrival, wri
 from sensorloom.sources.live import read_live
 from sensorloom.sources.tables import PANEL, panel
 from sensorloom.spec import HOURLY_PANEL, LIVE_COLUMNS, PanelSpec
-from sensorloom.streaming.live import frequency_seconds, map_live, resample_median, stream_resampled
+from sensorloom.streaming.live import await_resampled, frequency_seconds, map_live, resample_median, stream_resampled
 
 
 @pytest.fixture(scope="module")
@@ -214,6 +214,25 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     assert len(found) > 250
 
 
+def test_late_rows_of_a_stream_are_counted(spark, tmp_path):
+    sensors = HOURLY_PANEL.sensors
+    for day in (2, 3, 1):  # files out of time order
+        rows = [("h", pd.Timestamp(f"2024-01-0{day} {hour:02}:15").to_pydatetime(), *[1.0] * len(sensors)) for hour in range(0, 20, 2)]
+        frame = spark.createDataFrame(rows, f"{HOURLY_PANEL.entity} string, {HOURLY_PANEL.timestamp} timestamp, " + ", ".join(f"{s} double" for s in sensors))
+        frame.coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    live = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    with pytest.raises(TypeError, match="watermark"):
+        stream_resampled(live, HOURLY_PANEL, str(tmp_path / "a"), str(tmp_path / "b"))
+    for watermark, late in (("1 hour", 10), ("3 days", 0)):
+        name = watermark.replace(" ", "")
+        started = stream_resampled(live, HOURLY_PANEL, str(tmp_path / f"out{name}"), str(tmp_path / f"state{name}"), watermark=watermark)
+        if late:
+            with pytest.warns(UserWarning, match="late"):
+                assert await_resampled(started) == late
+        else:
+            assert await_resampled(started) == 0
+
+
 def test_sections_from_one_scan_equal_the_single_functions(spark, df):
     sections = eda(df, SPEC, bins=12, sample=40)
     single = {
