@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, exact, lines, minhash, packing, quality, secret_scan, toxicity, warc
+from . import bpe, chat, exact, importance, lines, minhash, negatives, packing, quality, secret_scan, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -259,3 +259,80 @@ def op7_secret_scan(spark, folder):
         F.sha2(listed(F.filter(spans, lambda s: s["kind"] != "learned")), 256).alias("base_sha256"),
         listed(spans).alias("spans"),
     )
+
+
+@query
+def op11_sharding(spark, folder):
+    return sharding.shard_report(table(spark, folder, "documents"))
+
+
+# A checksum of bytes, by a table of 256 remainders, for engines that have none.
+_CRC = r"""
+crc_bits AS (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT) AS remainder FROM range(256) t(n)),
+crc_table AS MATERIALIZED (SELECT list(remainder ORDER BY n) AS remainders FROM crc_bits)"""
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, remainders[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+ORACLE["op11_sharding"] = rf"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT % 4096 AS vslot FROM documents, crc_table),
+b AS (SELECT s.slot, coalesce(sum(size), 0)::BIGINT AS bytes FROM range(4096) s(slot) LEFT JOIN d ON d.vslot = s.slot GROUP BY 1),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY bytes DESC, slot) AS i, slot, bytes FROM b),
+deal AS (SELECT 0::BIGINT AS i, list_transform(range(16), lambda x: 0::BIGINT) AS loads, -1 AS slot, -1 AS shard
+         UNION ALL
+         SELECT o.i, list_transform(loads, lambda l, p: CASE WHEN p = list_position(loads, list_min(loads)) THEN l + o.bytes ELSE l END), o.slot::INT,
+                list_position(loads, list_min(loads))::INT - 1 FROM deal JOIN o ON o.i = deal.i + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id) - 1 AS slot, NULL::INT AS grown_shard, vslot
+FROM d JOIN deal ON deal.slot = d.vslot
+"""
+
+
+@query
+def op12_importance_resampling(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op12_importance_resampling"] = rf"""
+WITH {_CRC},
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+v AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+f AS (SELECT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+g AS (SELECT unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM v),
+h AS MATERIALIZED (SELECT feature, {_crc("feature")} % 10000 AS bucket FROM (SELECT feature FROM f UNION SELECT feature FROM g), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN h USING (feature) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN h USING (feature) GROUP BY 1),
+gain AS (SELECT b.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE)
+                / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE)))::BIGINT AS gain
+         FROM range(10000) b(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN h USING (feature) JOIN gain USING (bucket) GROUP BY 1),
+r AS (SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM w LEFT JOIN m USING (doc_id)),
+p AS (SELECT doc_id, n_words, n_features, weight, weight + noise AS score,
+             CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) END AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM p WHERE n_words >= 20) // 100 THEN place END AS rank, n_words FROM p
+"""
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.vector, b.vector)::BIGINT AS score
+                   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.place, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score, place::INT AS positive_rank FROM n WHERE rank <= 5
+"""
