@@ -412,3 +412,99 @@ featured AS (
   FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts), r AS (PARTITION BY entity ORDER BY ts ROWS 5 PRECEDING),
        f AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING))
 SELECT entity, ts, split, s1_lag_1h, s1_change_6h, s1_roll_mean_6h, event FROM featured JOIN manifest USING (entity, ts) WHERE NOT is_boundary_gap"""
+
+# --- joins in time, scores and forecasts ---------------------------------------------------
+_STATIONS = f"""WITH {RAW},
+rows AS (SELECT entity, ts, s1, a1, a2, a3, CAST(CASE WHEN entity % 11 = 0 THEN NULL WHEN entity % 3 = 0 THEN 0 ELSE entity % 40 END AS INT) AS station FROM panel_raw),
+readings AS (
+  SELECT CAST(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 40 END AS INT) AS station, o_orderdate AS read_at, arg_max(o_totalprice, o_orderkey) AS pressure
+  FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1, 2)"""
+
+
+def _as_of(comparison: str, near: str) -> str:
+    return f"""{_STATIONS}
+SELECT rows.*, CASE WHEN {near} THEN r.read_at END AS read_at, CASE WHEN {near} THEN r.pressure END AS pressure
+FROM rows ASOF LEFT JOIN readings r ON rows.station = r.station AND rows.ts {comparison} r.read_at"""
+
+
+Q["weather_as_of"] = Q["weather_as_of_long_entities"] = _as_of(">=", "rows.ts - r.read_at <= INTERVAL 3 DAY")
+Q["weather_ahead"] = _as_of("<=", "r.read_at - rows.ts <= INTERVAL 3 DAY")
+
+_SCORED = f"""WITH {RAW_HOLES},
+scored AS (SELECT entity, ts, floor(s1 + 100 * s3) / 64 AS score, CASE WHEN a3 % 17 <> 0 THEN t1 END AS t1 FROM panel_raw),
+counts AS (SELECT score, count(*) AS n, CAST(sum(t1) AS BIGINT) AS p FROM scored WHERE score IS NOT NULL AND t1 IS NOT NULL GROUP BY 1),
+curve AS (SELECT score, n, p, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n - p) OVER w AS BIGINT) AS fp, sum(p) OVER () AS ps, sum(n - p) OVER () AS qs
+          FROM counts WINDOW w AS (ORDER BY score DESC))"""
+
+
+def _at(i: int, limit: float) -> str:
+    alarms = f"sum(n) FILTER (score >= {limit})"
+    caught = f"coalesce(sum(p) FILTER (score >= {limit}), 0)"
+    return f"""round({caught} / sum(p), 9) AS recall_{i}, round({caught} / {alarms}, 9) AS precision_{i},
+  round((coalesce({alarms}, 0) - {caught}) / sum(n - p), 9) AS false_positive_rate_{i}"""
+
+
+Q["ranking_metrics"] = f"""{_SCORED}
+SELECT CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(p) AS BIGINT) AS positives, round(sum(p * (tp / (tp + fp))) / sum(p), 9) AS average_precision,
+  round((SELECT sum(x.n_pos * y.n_neg * CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN 0.5 ELSE 0 END)
+         FROM (SELECT score, p AS n_pos FROM counts) x, (SELECT score, n - p AS n_neg FROM counts) y) / (sum(p) * sum(n - p)), 9) AS roc_area,
+  {_at(0, 0.3)}, {_at(1, 0.5)}, {_at(2, 2.0)} FROM curve"""
+Q["ranking_curve"] = f"""{_SCORED}
+SELECT score AS threshold, tp AS true_positives, fp AS false_positives, tp / ps AS recall, tp / (tp + fp) AS precision, fp / qs AS false_positive_rate FROM curve"""
+
+
+def _isotonic(source: str) -> str:
+    """By the definition: the fit at a score is the highest, over first scores up to it, of the lowest mean over last scores from it on."""
+    return f"""sums AS (SELECT score, n, p, row_number() OVER (ORDER BY score) AS i, sum(n) OVER (ORDER BY score) AS ns, sum(p) OVER (ORDER BY score) AS ps FROM {source}),
+spans AS (SELECT a.i AS a, b.i AS b, (b.ps - a.ps + a.p) / (b.ns - a.ns + a.n) AS mean FROM sums a JOIN sums b ON a.i <= b.i),
+lowest AS (SELECT s.i, spans.a, min(mean) AS mean FROM sums s JOIN spans ON spans.a <= s.i AND s.i <= spans.b GROUP BY 1, 2),
+fit AS (SELECT i, max(mean) AS fit FROM lowest GROUP BY 1),
+blocks AS (SELECT min(score) AS low, max(score) AS high, CAST(sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives, sum(score * n) / sum(n) AS mean_score, sum(p) / sum(n) AS rate
+           FROM sums JOIN fit USING (i) GROUP BY round(fit, 12))"""
+
+
+Q["calibration_curve"] = Q["calibration_curve_many_groups"] = f"""{_SCORED}, {_isotonic("counts")}
+SELECT low, high, n, positives, round(mean_score, 9) AS mean_score, rate FROM blocks"""
+Q["calibrated_scores"] = f"""{_SCORED}, upper_counts AS (SELECT * FROM counts WHERE score >= 0.2), {_isotonic("upper_counts")},
+frame AS (SELECT entity, ts, max(score) AS score FROM scored GROUP BY 1, 2)
+SELECT entity, ts, score, CASE WHEN score < (SELECT min(low) FROM blocks) THEN (SELECT arg_min(rate, low) FROM blocks) ELSE rate END AS probability
+FROM frame ASOF LEFT JOIN blocks ON frame.score >= blocks.low"""
+
+_LEAD = f"""WITH {PANEL},
+alarms AS (SELECT entity, ts, lag(ts) OVER (PARTITION BY entity ORDER BY ts) AS before FROM panel WHERE s1 >= 44),
+episodes AS (SELECT entity, ts AS alarm_at FROM alarms WHERE before IS NULL OR ts - before > INTERVAL 5 DAY),
+events AS (SELECT entity, ts AS event_at FROM panel WHERE s2 > 75000),
+announced AS (SELECT e.entity, e.alarm_at, (SELECT min(v.event_at) FROM events v WHERE v.entity = e.entity AND v.event_at >= e.alarm_at AND v.event_at <= e.alarm_at + INTERVAL 20 DAY) AS event_at
+              FROM episodes e),
+matched AS (SELECT entity, event_at, min(alarm_at) AS alarm_at, count(*) AS n FROM announced WHERE event_at IS NOT NULL GROUP BY 1, 2)"""
+Q["event_lead_time"] = Q["event_lead_time_long_entities"] = f"""{_LEAD}
+SELECT v.entity, v.event_at, m.alarm_at, CAST(date_diff('day', m.alarm_at, v.event_at) AS INT) AS lead_days, coalesce(m.n, 0) AS episodes
+FROM events v LEFT JOIN matched m USING (entity, event_at)
+UNION ALL SELECT entity, NULL, alarm_at, NULL, NULL FROM announced WHERE event_at IS NULL"""
+
+# --- preparing features ----------------------------------------------------------------------
+_PARTS = _split("entity, ts", "0.7", _BOTH, 24).replace(PANEL, HOLES)
+Q["train_only_scaling"] = f"""{_PARTS}, parts AS (SELECT * FROM panel JOIN manifest USING (entity, ts)),
+stats AS (SELECT {", ".join(f"avg({s}) AS m_{s}, stddev_samp({s}) AS d_{s}" for s in SENSORS)} FROM parts WHERE split = 'train' AND NOT is_boundary_gap)
+SELECT entity, ts, split, {", ".join(f"round(({s} - m_{s}) / d_{s}, 6) AS {s}_scaled" for s in SENSORS)} FROM parts, stats"""
+
+
+def _share(feature: str, value: str) -> str:
+    """Shares of training and served rows per bin between inner deciles, and their stability index."""
+    return f"""SELECT '{feature}' AS feature, sum((q - p) * ln(q / p)) AS shift FROM (
+  SELECT greatest(count(*) FILTER (NOT later) / (SELECT count(*) FROM panel WHERE year(ts) < 1999), 1e-4) AS p,
+         greatest(count(*) FILTER (later) / (SELECT count(*) FROM panel WHERE year(ts) >= 1999), 1e-4) AS q
+  FROM (SELECT year(ts) >= 1999 AS later, CASE WHEN year(ts) >= 1999 THEN {value} ELSE {feature} END AS x FROM panel)
+  GROUP BY CASE WHEN x IS NULL THEN -1 ELSE (SELECT count(*) FROM
+    (SELECT DISTINCT unnest(quantile_cont({feature}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM panel WHERE year(ts) < 1999) c WHERE c.e <= x) END)"""
+
+
+Q["feature_parity"] = f"""WITH {HOLES}, shifts AS ({union([_share("s1", "s1"), _share("s2", "s2 * 1.3"), _share("s4", "s4")])})
+SELECT feature, CASE WHEN shift > 0.2 THEN 'shifted' ELSE 'ok' END AS status, round(shift, 6) AS shift FROM shifts
+UNION ALL VALUES ('s3', 'type', NULL), ('t1', 'missing', NULL), ('t9', 'extra', NULL)"""
+Q["oversampled_train"] = f"""{_PARTS}, parts AS (SELECT entity, ts, t3, split, is_boundary_gap FROM panel JOIN manifest USING (entity, ts)),
+own AS (SELECT *, split = 'train' AND NOT is_boundary_gap AND t3 = 1 AS rare FROM parts),
+sizes AS (SELECT count(*) FILTER (rare) AS p, count(*) FILTER (split = 'train' AND NOT is_boundary_gap AND NOT rare) AS q FROM own),
+wanted AS (SELECT p, greatest(p, CAST(round_even(q * CAST(0.3 AS DOUBLE) / (1 - CAST(0.3 AS DOUBLE)), 0) AS BIGINT)) AS w FROM sizes),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY md5(concat_ws('|', CAST(entity AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))), entity, ts) AS k FROM own)
+SELECT entity, ts, t3, split, is_boundary_gap, unnest(range(CASE WHEN rare THEN w // p + CASE WHEN k <= w % p THEN 1 ELSE 0 END ELSE 1 END)) AS copy FROM ranked, wanted"""

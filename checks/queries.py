@@ -10,7 +10,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators import contracts, profile
+from sensorloom.operators import contracts, preparation, profile, scores
+from sensorloom.operators.asof import as_of_join
 from sensorloom.operators.clean import canonical_types, clean, interpolate_time, keep_last
 from sensorloom.operators.features import common_features, series_features, time_features
 from sensorloom.operators.ordered import Skew, measure
@@ -638,3 +639,127 @@ def pipeline_manifest(spark, folder):
     paths = run_pipeline(spark, f"{base}/raw.parquet", base, config)
     cleaned, manifest = spark.read.parquet(paths["clean"]), spark.read.parquet(paths["manifest"])
     return join_manifest(cleaned.select("entity", "ts", F.col("s1").cast("double").alias("s1")), manifest, PANEL)
+
+
+# --- joins in time, scores and forecasts ---------------------------------------------------
+
+
+def _stations(spark, folder):
+    """Panel rows with the weather station that serves their entity (some have none), and its readings."""
+    frame = panel_raw(spark, folder).select("entity", "ts", "s1", "a1", "a2", "a3")
+    station = F.when(F.col("entity") % 11 != 0, F.when(F.col("entity") % 3 == 0, 0).otherwise(F.col("entity") % 40)).cast("int")
+    orders = table(spark, folder, "orders")
+    readings = orders.select(
+        F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 40).cast("int").alias("station"), F.col("o_orderdate").alias("read_at"),
+        F.col("o_totalprice").alias("pressure"), "o_orderkey",
+    )
+    return frame.withColumn("station", station), readings.filter(F.col("o_orderkey") % 4 == 0)
+
+
+def _weather(spark, folder, direction="backward"):
+    frame, readings = _stations(spark, folder)
+    return as_of_join(
+        frame, readings, on=["station"], left_time="ts", right_time="read_at", columns=["read_at", "pressure"],
+        tolerance=F.expr("INTERVAL 3 DAYS"), tie=["o_orderkey"], direction=direction,
+    )
+
+
+@query
+def weather_as_of(spark, folder):
+    return _weather(spark, folder)
+
+
+@query
+def weather_as_of_long_entities(spark, folder):
+    with small_groups(spark):
+        return _weather(spark, folder)
+
+
+@query
+def weather_ahead(spark, folder):
+    return _weather(spark, folder, "forward")
+
+
+def _scored(spark, folder):
+    """A score with ties and nulls beside a label with nulls."""
+    frame = panel_raw(spark, folder, holes=True)
+    return frame.select(*PANEL.keys, (F.floor(F.col("s1") + 100 * F.col("s3")) / 64).alias("score"), F.when(F.col("a3") % 17 != 0, F.col("t1")).alias("t1"))
+
+
+@query
+def ranking_metrics(spark, folder):
+    found = scores.ranking_metrics(_scored(spark, folder), "score", "t1", (0.3, 0.5, 2.0))
+    return rounded(found, {"average": 9, "area": 9, "recall": 9, "precision": 9, "false": 9})
+
+
+@query
+def ranking_curve(spark, folder):
+    return scores.ranking_curve(_scored(spark, folder), "score", "t1").drop("n", "positives")
+
+
+@query
+def calibration_curve(spark, folder):
+    return rounded(scores.calibration_curve(_scored(spark, folder), "score", "t1"), {"mean_score": 9})
+
+
+@query
+def calibration_curve_many_groups(spark, folder):
+    return rounded(scores.calibration_curve(_scored(spark, folder), "score", "t1", block=5), {"mean_score": 9})
+
+
+@query
+def calibrated_scores(spark, folder):
+    frame = _scored(spark, folder).groupBy("entity", "ts").agg(F.max("score").alias("score"))
+    curve = scores.calibration_curve(_scored(spark, folder).filter("score >= 0.2"), "score", "t1")
+    return scores.calibrated(frame, curve, "score", "probability")
+
+
+def _lead(spark, folder):
+    frame = panel(spark, folder).select("entity", "ts", "s1", "s2")
+    return scores.event_lead_time(frame, PANEL, F.col("s2") > 75_000, F.col("s1") >= 44, F.expr("INTERVAL 20 DAYS"), F.expr("INTERVAL 5 DAYS"))
+
+
+def _lead_rows(spark, folder):
+    events, false = _lead(spark, folder)
+    both = events.withColumn("lead_days", F.expr("extract(DAY FROM lead)").cast("int")).drop("lead").unionByName(false, allowMissingColumns=True)
+    return both.select("entity", "event_at", "alarm_at", "lead_days", "episodes")
+
+
+@query
+def event_lead_time(spark, folder):
+    return _lead_rows(spark, folder)
+
+
+@query
+def event_lead_time_long_entities(spark, folder):
+    with small_groups(spark, rows=30):
+        return _lead_rows(spark, folder)
+
+
+# --- preparing features ----------------------------------------------------------------------
+
+
+def _split_panel(spark, folder):
+    return with_splits(panel(spark, folder, holes=True), PANEL, gap_rows=24, skew=sizes(spark, folder))
+
+
+@query
+def train_only_scaling(spark, folder):
+    frame = _split_panel(spark, folder)
+    found = preparation.apply_scaling(frame, preparation.fit_scaling(frame, PANEL), PANEL)
+    return rounded(found.select("entity", "ts", "split", *[f"{s}_scaled" for s in PANEL.sensors]), {"_scaled": 6})
+
+
+@query
+def feature_parity(spark, folder):
+    """Served rows are those of later days, with one feature moved, one of another type, one gone and one too many."""
+    frame = panel(spark, folder, holes=True).select("ts", "s1", "s2", "s3", "s4", "t1")
+    contract = preparation.feature_contract(frame.filter(F.year("ts") < 1999), ["s1", "s2", "s3", "s4", "t1"])
+    served = frame.filter(F.year("ts") >= 1999).select("s1", (F.col("s2") * 1.3).alias("s2"), F.col("s3").cast("float").alias("s3"), "s4", F.lit(1).alias("t9"))
+    return rounded(preparation.feature_parity(served, contract), {"shift": 6})
+
+
+@query
+def oversampled_train(spark, folder):
+    frame = _split_panel(spark, folder).select("entity", "ts", "t3", "split", "is_boundary_gap")
+    return preparation.oversample(frame, PANEL, "t3", 0.3)

@@ -29,8 +29,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def _laid_out(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str]:
-    """The rows in range partitions, with a column that numbers them inside and across partitions."""
+def laid_out(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str]:
+    """The rows in range partitions, kept in a checkpoint, with the name of a column whose values grow along the order."""
     tie, place = unused(df, "_tie"), unused(df, "_place")
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tied = df.withColumn(tie, F.monotonically_increasing_id())
@@ -38,10 +38,15 @@ def _laid_out(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str]:
     return checkpoint(sorted_.drop(tie).withColumn(place, F.monotonically_increasing_id())), place
 
 
+def range_of(place: str) -> Column:
+    """The number of the range a row was dealt to."""
+    return F.shiftright(place, _BITS)
+
+
 def _offsets(laid: DataFrame, place: str, sums: Sequence[str]) -> DataFrame:
     """What lies before each range, one row a range: ``_range``, ``_before`` and a total per column."""
     totals = [F.sum(name).alias(f"s{i}") for i, name in enumerate(sums)]
-    found = laid.groupBy(F.shiftright(place, _BITS).alias("r")).agg(F.count(F.lit(1)).alias("n"), *totals).orderBy("r").collect()
+    found = laid.groupBy(range_of(place).alias("r")).agg(F.count(F.lit(1)).alias("n"), *totals).orderBy("r").collect()
     types = [T.LongType(), *[laid.schema[name].dataType for name in sums]]
     before = [list(accumulate((row[i + 1] or 0 for row in found), initial=0)) for i in range(len(types))]
     names = ["_before", *[f"_before_{name}" for name in sums]]
@@ -56,19 +61,19 @@ def _wide(kind: T.DataType) -> T.DataType:
 
 def with_positions(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     """Add ``output``, the position (from 1) of each row in ``order`` over the whole table."""
-    laid, place = _laid_out(df, order)
+    laid, place = laid_out(df, order)
     offsets = _offsets(laid, place, [])
     inside = F.col(place).bitwiseAND(F.lit((1 << _BITS) - 1))
-    found = laid.withColumn("_range", F.shiftright(place, _BITS)).join(offsets, "_range")
+    found = laid.withColumn("_range", range_of(place)).join(offsets, "_range")
     return found.select(*df.columns, (F.col("_before") + inside + 1).alias(output))
 
 
 def with_running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
     """Add ``{name}_so_far`` for each column of ``sums``: its total over all rows up to this one,
     itself included. ``order`` should tell rows apart; nulls count as nothing."""
-    laid, place = _laid_out(df, order)
+    laid, place = laid_out(df, order)
     offsets = _offsets(laid, place, sums)
-    ranged = laid.withColumn("_range", F.shiftright(place, _BITS))
+    ranged = laid.withColumn("_range", range_of(place))
     running = Window.partitionBy("_range").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.coalesce(F.sum(name).over(running), F.lit(0)).alias(f"_run_{name}") for name in sums])
     total = [(F.col(f"_before_{name}") + F.col(f"_run_{name}")).alias(f"{name}_so_far") for name in sums]
