@@ -62,8 +62,8 @@ def edit_map(sizes: DataFrame, shards: int, old: DataFrame | None = None, tolera
     """The next version of the slot-to-shard map: (version, slot, shard) for all SLOTS slots.
 
     Without an old map every slot is free. Else a shard whose bytes exceed the mean by more than
-    ``tolerance`` gives up its smallest slots until it no longer exceeds the mean, and shards that no longer exist give up all;
-    the others stay where they are. Free slots go, largest first, to the shard with the fewest bytes. The
+    ``tolerance`` gives up its largest slots, few of them, until it no longer exceeds the mean, and shards that no longer
+    exist give up all; the others stay where they are. Free slots go, largest first, to the shard with the fewest bytes. The
     map has SLOTS rows whatever the data, so one row of arrays carries the edit.
     """
     spark = sizes.sparkSession
@@ -74,7 +74,7 @@ def edit_map(sizes: DataFrame, shards: int, old: DataFrame | None = None, tolera
         placed = known.join(old.select("slot", "shard", "version"), "slot", "left").na.fill(0, ["version"])
     everything = Window.partitionBy(F.lit(0))  # SLOTS rows
     own = Window.partitionBy("shard")
-    upto = own.orderBy(F.desc("bytes"), "slot").rowsBetween(Window.unboundedPreceding, 0)
+    upto = own.orderBy("bytes", "slot").rowsBetween(Window.unboundedPreceding, 0)
     weighed = placed.select(
         "slot", "bytes", "shard", F.max("version").over(everything).alias("version"), (F.sum("bytes").over(everything) / shards).alias("mean"),
         F.sum("bytes").over(own).alias("load"), F.sum("bytes").over(upto).alias("upto"),
