@@ -5,26 +5,26 @@ Documents with the same set form one class; classes are compared, never their co
 ``BITS`` bits are kept and packed, and two signatures are compared by counting equal cells and
 correcting for cells that agree by chance.
 
-Only components are wanted, so a bucket needs no pairs once its classes are known to belong
-together. First each bucket links its members to leaders (linear in its size); those links are
-confirmed on the full sets. Then every pair of a bucket that still lies in two components and whose
-estimate is not clearly below the threshold is confirmed too. Nothing is capped: crowded buckets
-are compared in blocks, and exact similarities to a common neighbour rule out most pairs.
+Only components are wanted, so no pairs leave a bucket. Its members come together with their sets in
+groups of bounded size; there, pairs that the bits do not rule out are confirmed on the full sets,
+and a group hands on a spanning forest, fewer links than it has members. First each class goes to its most
+crowded bucket only. Then the buckets that still hold several components are searched, the members outside
+the main component against all. Nothing is capped: crowded buckets are compared in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import checkpoint
-from .rows import fresh, per_text
+from .rows import fresh, importable, per_text
 
 HASHES = 512
 BITS = 4
@@ -33,9 +33,10 @@ ROWS = 4
 # At similarity s the estimate of 512 cells has a standard error of sqrt(s(1-s)/512), 0.019 at 0.8
 # after correction. Pairs are confirmed from 4.5 standard errors below the threshold on, and a
 # pair at the threshold misses all 32 bands of 4 with probability (1 - 0.8**4)**32 = 5e-8.
-ERRORS = 4.5
 MARGIN = 0.085
+# Members and shingles (8 bytes each) of one group, about.
 BLOCK = 2048
+SHINGLES = 1 << 22
 KEPT_WORDS = 500_000
 
 _random = np.random.default_rng(20_240_601)
@@ -113,7 +114,7 @@ _SIGNED = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-_SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
 def _class(shingles: np.ndarray) -> int:
@@ -138,16 +139,55 @@ def _setter(width: int):
     def sets(texts: list[str]) -> Iterable[tuple]:
         for text in texts:
             shingles = shingle_set(text, width)
-            yield _class(shingles), shingles.view(np.int64)
+            yield _class(shingles), shingles.tobytes()
 
     return sets
 
 
-# --- pairs of one bucket ------------------------------------------------------------------
-
-
-def _cells(frame: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
+# --- links inside one group -------------------------------------------------------------
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows sorted by ``keys``, one at a time."""
+    held: list[pa.RecordBatch] = []
+    key: tuple = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            own = tuple(c[start] for c in columns)
+            if held and own != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            key = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Sets:
+    """The full sets of a group. Shingles of one member only are left out of the comparison: nothing shares them."""
+
+    def __init__(self, packed: list[bytes]):
+        whole = [np.frombuffer(b, np.uint64) for b in packed]
+        self.sizes = np.array([len(w) for w in whole], np.int64)
+        _, codes, counts = np.unique(np.concatenate(whole), return_inverse=True, return_counts=True)
+        common = counts > 1
+        numbers = np.cumsum(common) - 1
+        kept = np.split(codes, np.cumsum(self.sizes)[:-1])
+        self.codes = [numbers[c[common[c]]] for c in kept]
+        self.mark = np.zeros(int(common.sum()) + 1, bool)
+
+    def shared(self, one: int, many: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of one set and each of several."""
+        others = [self.codes[j] for j in many]
+        self.mark[self.codes[one]] = True
+        running = np.concatenate([[0], np.cumsum(self.mark[np.concatenate(others)], dtype=np.int64)])
+        self.mark[self.codes[one]] = False
+        ends = np.cumsum([len(o) for o in others])
+        return running[ends] - running[np.concatenate([[0], ends[:-1]])]
 
 
 def _middle(cells: np.ndarray) -> np.ndarray:
@@ -157,115 +197,85 @@ def _middle(cells: np.ndarray) -> np.ndarray:
     return (common[0::2] | (common[1::2] << 4)).view(np.uint64)
 
 
-def _leaders(low: float):
-    """Links the members of a block of a bucket to leaders. The first leaders are the members
-    nearest to the commonest cells of those without one, then any."""
-
-    def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        cells, names = _cells(frame), frame["cls"].to_numpy()
-        packed, left, found, step = cells.view(np.uint64), np.argsort(names), [], 0
-        while len(left) > 1:
-            leader = left[int(estimate(_middle(cells[left]), packed[left]).argmax())] if step < 3 else left[0]
-            near = estimate(packed[leader], packed[left])
-            chosen = (near >= low) & (left != leader)
-            found += [(names[leader], names[i], e) for i, e in zip(left[chosen], near[chosen])]
-            left, step = left[~chosen & (left != leader)], step + 1
-        return pd.DataFrame(found, columns=["leader", "cls", "near"])
+TARGET, BOTH, ASKER = 0, 1, 2
 
-    return lead
 
+def forest(group: pa.Table, low: float, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that unite the members of a group as all its confirmed links would, fewer than it has members.
 
-def _acrosser(low: float, threshold: float):
-    """Pairs of two components of a bucket that may reach the threshold. Rows with ``asks`` are
-    compared with the others of the group, a pair of two minor members from its smaller one.
-
-    Where the exact similarity of an asking member and an anchor is known, it sharpens the estimate:
-    the member agrees with another one as with the anchor, but for cells in which those two differ.
+    Members that ask are compared with the others that lie in another component so far. The packed
+    bits rule pairs out, the full sets decide. A pair of two minor members is looked at from its smaller one.
     """
-    chance = 2.0**-BITS
-
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
-        packed, names = _cells(frame).view(np.uint64), frame["cls"].to_numpy()
-        component, sizes = frame["component"].to_numpy(), frame["n_shingles"].to_numpy()
-        minor, target, found = frame["minor"].to_numpy(), np.flatnonzero(~frame["asks"]), []
-        anchors, known = frame["anchor"].to_numpy(), frame["similarity"].to_numpy()
-        here, own = int(frame["bucket"].iloc[0]), [frozenset(b.tolist()) for b in frame["buckets"]]
-        for i in np.flatnonzero(frame["asks"]):
-            some = target[component[target] != component[i]]
-            some = some[~minor[some] | (names[some] > names[i])]
-            least, most = np.minimum(sizes[some], sizes[i]), np.maximum(sizes[some], sizes[i])
-            some = some[least >= threshold * most - 1e-9]
-            near = estimate(packed[i], packed[some])
-            able = near >= low
-            if anchors[i] is not None:
-                anchor = np.frombuffer(anchors[i], np.uint64)
-                differ = (1 - chance) * (1 - estimate(anchor, packed[some]))
-                near = known[i] + near - estimate(anchor, packed[i : i + 1])[0]
-                able &= near >= threshold - ERRORS * np.sqrt((differ + 3 / HASHES) / HASHES) / (1 - chance)
-            # A pair that shares several buckets is named in the first of them only.
-            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in some[able] if min(own[i] & own[j]) == here]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return across
+    names, label = group["cls"].to_numpy(), group["component"].to_numpy().copy()
+    role, minor = group["role"].to_numpy(), group["minor"].to_numpy(zero_copy_only=False)
+    cells = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(names), -1)
+    packed, sets, found = cells.view(np.uint64), _Sets(group["shingles"].to_pylist()), []
+    targets, askers = np.flatnonzero(role <= BOTH), np.flatnonzero(role >= BOTH)
+    if len(askers) > 2:  # the likeliest centres first, so that most others need no comparison of their own
+        askers = askers[np.argsort(-estimate(_middle(cells[askers]), packed[askers]), kind="stable")]
+    asked = np.zeros(len(names), bool)
+    for i in askers:
+        some = targets[label[targets] != label[i]]
+        # Where both sides ask, the pair is looked at once: in this group by the first, across groups by the smaller name.
+        some = some[~asked[some] if role[i] == BOTH else ~minor[some] | (names[some] > names[i])]
+        asked[i] = True
+        least, most = np.minimum(sets.sizes[some], sets.sizes[i]), np.maximum(sets.sizes[some], sets.sizes[i])
+        some = some[100 * least >= percent * most]
+        some = some[estimate(packed[i], packed[some]) >= low]
+        if not len(some):
+            continue
+        shared = sets.shared(i, some)
+        linked = some[100 * shared >= percent * (sets.sizes[i] + sets.sizes[some] - shared)]
+        labels, first = np.unique(label[linked], return_index=True)
+        found += [(int(names[i]), int(names[linked[j]])) for j in first]
+        label[np.isin(label, labels)] = label[i]
+    return found
+
+
+def _foresters(keys: list[str], low: float, percent: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            found = forest(group, low, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return apply
 
 
 # --- the graph ------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(cls, component) of classes with links: the smallest class reachable. In each round a class
-    takes the smallest label of its neighbours, then the label of that label, until nothing changes.
-
-    After a fixed number of ``rounds`` classes of one label are connected, but some components may
-    still have several labels; that is enough to pass over pairs.
-    """
+    takes the smallest label of its neighbours, then the label of that label, until nothing changes."""
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("component")))
-    done = 0
-    while rounds is None or done < rounds:
+    while True:
         heard = both.join(labels.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("cls"), "component", F.lit(None).cast("long").alias("old"))
         taken = heard.union(labels.withColumn("old", F.col("component"))).groupBy("cls").agg(F.min("component").alias("next"), F.max("old").alias("old"))
         jump = labels.select(F.col("cls").alias("next"), F.col("component").alias("beyond"))
         moved = checkpoint(taken.join(jump, "next").select("cls", F.least("next", "beyond").alias("component"), "old"))
-        labels, done = moved.drop("old"), done + 1
-        if rounds is None and moved.filter(F.col("component") != F.col("old")).isEmpty():
-            break
-    return labels
+        labels = moved.drop("old")
+        if moved.filter(F.col("component") != F.col("old")).isEmpty():
+            return labels
 
 
-def _candidate_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from one text each.
+def _candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, n_shingles, signature, shingles) of the wanted classes, each set made from one text.
 
     Texts are picked in the scan by a bit table of fixed size (at most 2**18 words, whatever the
     data); where it is too full to tell, more texts pass, and the join that uses the sets decides.
     """
     bits = 24
-    texts = signed.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("text_hash").alias("text_hash"))
+    chosen = checkpoint(classes.join(wanted, "cls", "left_semi").select("cls", "n_shingles", "signature", "text_hash"))
     spot = F.pmod(F.col("text_hash"), F.lit(1 << bits))
     word, bit = F.shiftright(spot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(text_hash, {1 << bits}) % 64 as int))")
-    table = texts.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = chosen.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     rows = docs.select("text", F.xxhash64("text").alias("text_hash")).withColumn("word", F.shiftright(spot, 6))
     picked = rows.join(F.broadcast(checkpoint(table)), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
     name = per_text(docs.sparkSession, _setter(width), _SET)
     made = picked.select(name(F.col("text")).alias("made")).select("made.cls", "made.shingles")
-    return checkpoint(made.groupBy("cls").agg(F.first("shingles").alias("shingles")))
-
-
-def similarities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with the similarity of their full sets, and ``linked``: 100 * intersection >=
-    percent * union, in whole numbers."""
-    one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
-
-    def compare(of_a: pd.Series, of_b: pd.Series) -> pd.DataFrame:
-        shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(of_a, of_b)]
-        union = [len(x) + len(y) - n for n, x, y in zip(shared, of_a, of_b)]
-        rows = [(100 * n >= percent * u, n / u) for n, u in zip(shared, union)]
-        return pd.DataFrame({"linked": pd.Series([r[0] for r in rows], dtype=bool), "similarity": pd.Series([r[1] for r in rows], dtype=float)})
-
-    test = F.pandas_udf(compare, "linked boolean, similarity double").asNondeterministic()
-    both = pairs.join(one, "a").join(two, "b")
-    return checkpoint(both.select("a", "b", test("of_a", "of_b").alias("found")).select("a", "b", "found.*"))
+    return checkpoint(made.join(chosen.drop("text_hash"), "cls").dropDuplicates(["cls"]))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -278,10 +288,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     of such rows only has a null id and keeps none. Rows that repeat the smallest id are all kept. An
     empty table gives no rows; other columns are not read.
     """
-    signed, labels = _labelled(docs.select("doc_id", "text", F.lit(None).cast("long").alias("row")), width, percent)
-    least = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    signed, classes, labels = _labelled(docs.select("doc_id", "text", F.lit(None).cast("long").alias("row")), width, percent)
     # Classes without links are their own component, so only linked ones meet their labels.
-    named = least.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("cls", F.col("best.doc_id").alias("least")).join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.join(smallest, "component").select("cls", "component_id")
     found = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
@@ -289,72 +298,82 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows (doc_id, row, text_hash and the signature) and the components of linked classes."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows (doc_id, row, text_hash and the signature), one row a class with its ``best`` row
+    (those with an id first, by id, text and row number), and the components of linked classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.coalesce("text", F.lit("")).alias("text"))
     sign = per_text(docs.sparkSession, _signer(width), _SIGNED)
     signed = checkpoint(docs.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), sign(F.col("text")).alias("s")).select("doc_id", "row", "text_hash", "s.*"))
-    return signed, components(_links(docs, signed, width, percent))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "row")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "signature", "bands", "text_hash")]
+    classes = checkpoint(signed.filter("cls is not null").groupBy("cls").agg(*same, F.min(order).alias("best")))
+    return signed, classes, components(_links(docs, classes, width, percent))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, n, blocks): into how many blocks a bucket is cut, so that one holds at most about BLOCK
+    members and SHINGLES shingles."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / SHINGLES)).cast("long")
+    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).select("bucket", "n", blocks.alias("blocks"))
 
 
-def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links between classes, enough of them to give every component."""
-    threshold, low = percent / 100, percent / 100 - MARGIN
-    banded = signed.filter("cls is not null").select("cls", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.min("cls").alias("one"), F.max("cls").alias("two")).filter("one < two").select("bucket")
-    inside = checkpoint(banded.join(crowded, "bucket").distinct())
-    # Of buckets with the same members one is enough.
-    prints = inside.groupBy("bucket").agg(
+    banded = classes.select("cls", "n_shingles", F.explode("bands").alias("bucket"))
+    prints = banded.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("mixed"), F.min("cls").alias("one"), F.max("cls").alias("two")
     )
-    buckets = prints.groupBy("n", "mixed", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    signatures = signed.join(inside.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    signatures = checkpoint(signatures)
-    kept = inside.join(buckets, "bucket")
-    lists = kept.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS each
-    members = checkpoint(kept.join(signatures, "cls").join(lists, "cls"))
-    sets = _candidate_sets(docs, signed, members.select("cls").distinct(), width)
-
-    # 1. Links to leaders. A crowded bucket is cut into blocks, which share a few members.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    # Of buckets with the same members one is enough.
+    buckets = prints.filter("n > 1").groupBy("n", "mixed", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    members = checkpoint(banded.join(buckets, "bucket").select("bucket", "cls", "n_shingles", "n"))
+    body = _candidate_sets(docs, classes, members.select("cls").distinct(), width)
+
+    # 1. Every class goes once, with its set, to its most crowded bucket.
+    home = members.groupBy("cls").agg(F.max(F.struct("n", "bucket")).alias("h"), F.first("n_shingles").alias("n_shingles")).select("cls", "n_shingles", "h.bucket")
+    home = checkpoint(home)
     spread = F.xxhash64("cls", "bucket")
-    shared = (blocks > 1) & (F.pmod(spread, F.col("n")) < 8)
-    own = F.pmod(spread, blocks)
-    placed = members.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))))
-    led = checkpoint(placed.select("bucket", "block", "cls", "signature").groupBy("bucket", "block").applyInPandas(_leaders(low), "leader long, cls long, near double"))
-    best = led.groupBy("cls").agg(F.max_by("leader", "near").alias("nearest"), F.min("leader").alias("first"))
-    pairs = best.select("cls", F.explode(F.array("nearest", "first")).alias("leader")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-    checked = similarities(pairs, sets, percent)
+    shared = (F.col("blocks") > 1) & (F.pmod(spread, F.col("n")) < 8)  # a few members of all blocks tie them together
+    placed = home.join(_blocks(home).filter("n > 1"), "bucket").withColumn(
+        "block", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(spread, F.col("blocks")))))
+    )
+    everyone = placed.select("bucket", "block", "cls", F.col("cls").alias("component"), F.lit(BOTH).alias("role"), F.lit(False).alias("minor"))
+    first = _united(everyone, body, ["bucket", "block"], percent)
 
     # 2. Buckets that still hold several components: all pairs across them that may be linked.
-    labels = components(checked.filter("linked"), rounds=2)
-    asked = _across(members, labels, _anchors(checked, signatures), _acrosser(low, threshold))
-    rest = similarities(asked.join(checked, ["a", "b"], "left_anti"), sets, percent)
-    return checked.union(rest).filter("linked").select("a", "b")
+    second = _united(_across(members, components(first)), body, ["bucket", "block", "asker"], percent)
+    return first.union(second)
 
 
-def _anchors(checked: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(cls, similarity, anchor): for each compared class the nearest other one and its signature."""
-    both = checked.select(F.col("a").alias("cls"), F.col("b").alias("other"), "similarity").union(checked.select("b", "a", "similarity"))
-    nearest = both.groupBy("cls").agg(F.max(F.struct("similarity", "other")).alias("n")).select("cls", "n.similarity", "n.other")
-    return nearest.join(signatures.select(F.col("cls").alias("other"), F.col("signature").alias("anchor")), "other").drop("other")
+def _united(rows: DataFrame, body: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Forests of all groups. A group is bounded, and a row of it carries its own set only."""
+    importable(rows.sparkSession)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rows.join(body.select("cls", "signature", "shingles"), "cls").repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return checkpoint(whole.mapInArrow(_foresters(keys, percent / 100 - MARGIN, percent), "a long, b long"))
 
 
-def _across(members: DataFrame, labels: DataFrame, anchors: DataFrame, pick) -> DataFrame:
-    """Pairs (a, b), each once, across components inside buckets. The members outside the main component
-    of a bucket ask, in groups of about BLOCK, the blocks of all its members."""
+def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Who meets whom in buckets of several components. The members outside the main component ask; in a bucket of
+    several blocks they do so in groups of their own, one for each block of the bucket."""
     labelled = members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
-    main = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.max("share").alias("share"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = labelled.join(main.select("bucket", "main", "share"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
-    spread, blocks = F.xxhash64("cls", "bucket"), F.ceil(F.col("n") / BLOCK).cast("long")
-    asking = F.greatest(F.ceil((F.col("n") - F.col("share")) / BLOCK), F.lit(1)).cast("long")
-    split = split.select("bucket", "buckets", "cls", "component", "n_shingles", "signature", "minor", blocks.alias("blocks"), asking.alias("askers"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    targets = split.withColumn("block", F.pmod(spread, F.col("blocks"))).withColumn("asker", F.explode(upto("askers"))).withColumn("asks", F.lit(False))
-    targets = targets.withColumns({"anchor": F.lit(None).cast("binary"), "similarity": F.lit(None).cast("double")})
-    askers = split.filter("minor").join(anchors, "cls", "left").withColumn("block", F.explode(upto("blocks"))).withColumn("asker", F.pmod(spread, F.col("askers"))).withColumn("asks", F.lit(True))
-    return targets.unionByName(askers).groupBy("bucket", "block", "asker").applyInPandas(pick, "a long, b long")
+    shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"), F.sum("n_shingles").alias("shingles"))
+    main = shares.groupBy("bucket").agg(
+        F.max_by("component", F.struct("share", "component")).alias("main"), F.max_by("shingles", F.struct("share", "component")).alias("main_shingles"),
+        F.max("share").alias("share"), F.sum("share").alias("n"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("parts"),
+    ).filter("parts > 1")
+    cut = lambda n, shingles: F.greatest(F.ceil(F.greatest(n / BLOCK, shingles / SHINGLES)), F.lit(1)).cast("long")
+    sized = main.select(
+        "bucket", "main", cut(F.col("n"), F.col("shingles")).alias("blocks"), cut(F.col("n") - F.col("share"), F.col("shingles") - F.col("main_shingles")).alias("askers")
+    )
+    split = labelled.join(sized, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    spread, upto = F.xxhash64("cls", "bucket"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    place = lambda block, asker, role: F.struct(block.alias("block"), asker.alias("asker"), F.lit(role).alias("role"))
+    none = F.lit(0).cast("long")
+    small = F.array(F.when(F.col("minor"), place(none, none, BOTH)).otherwise(place(none, none, TARGET)))
+    target = F.transform(upto("askers"), lambda a: place(F.pmod(spread, F.col("blocks")), a, TARGET))
+    asking = F.transform(upto("blocks"), lambda b: place(b, F.pmod(spread, F.col("askers")), ASKER))
+    places = F.when(F.col("blocks") == 1, small).when(F.col("minor"), F.concat(target, asking)).otherwise(target)
+    return split.select("bucket", "cls", "component", "minor", F.explode(places).alias("p")).select("bucket", "cls", "component", "minor", "p.*")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -368,10 +387,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     numbered = checkpoint(docs.filter("doc_id is null").withColumn(row, F.monotonically_increasing_id()))
     identified = docs.filter("doc_id is not null")
     both = identified.select("doc_id", "text", F.lit(None).cast("long").alias("row")).union(numbered.select("doc_id", "text", F.col(row).alias("row")))
-    signed, labels = _labelled(both, width, percent)
+    signed, classes, labels = _labelled(both, width, percent)
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "row")
-    best = signed.filter("cls is not null").groupBy("cls").agg(F.min(order).alias("best"))
-    best = best.join(labels, "cls", "left").groupBy(F.coalesce("component", "cls").alias("component")).agg(F.min("best").alias("best"))
+    best = classes.select("cls", "best").join(labels, "cls", "left").groupBy(F.coalesce("component", "cls").alias("component")).agg(F.min("best").alias("best"))
     kept = checkpoint(best.select("best.*").union(signed.filter("cls is null").select(order.alias("best")).select("best.*")))
     ids = kept.filter("not late").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     rows = kept.filter("late").select(F.col("row").alias(row))
