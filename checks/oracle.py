@@ -508,3 +508,10 @@ sizes AS (SELECT count(*) FILTER (rare) AS p, count(*) FILTER (split = 'train' A
 wanted AS (SELECT p, greatest(p, CAST(round_even(q * CAST(0.3 AS DOUBLE) / (1 - CAST(0.3 AS DOUBLE)), 0) AS BIGINT)) AS w FROM sizes),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY md5(concat_ws('|', CAST(entity AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))), entity, ts) AS k FROM own)
 SELECT entity, ts, t3, split, is_boundary_gap, unnest(range(CASE WHEN rare THEN w // p + CASE WHEN k <= w % p THEN 1 ELSE 0 END ELSE 1 END)) AS copy FROM ranked, wanted"""
+
+# --- streams that keep tables per batch --------------------------------------------------------
+Q["stream_keep_last"] = f"WITH {PANEL} SELECT * FROM panel"
+Q["stream_live_features"] = f"""SELECT * FROM ({Q["live_feature_set"]})
+WHERE ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR"""
+Q["resample_stream_seven_hours"] = f"""SELECT * FROM ({Q["resample_seven_hours"]})
+WHERE ts + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

@@ -79,9 +79,14 @@ def resample_median(
         rows = _anchored(rows, spec, seconds)
     else:
         rows = rows.withColumn("_start", F.window(spec.timestamp, f"{seconds} seconds").start)
+    return median_per_window(rows, spec)
+
+
+def median_per_window(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Medians per entity and ``_start``, which becomes the time; crowded windows are counted by value ranges."""
     keys = [spec.entity, "_start"]
 
-    bound = max_group_rows(df.sparkSession)
+    bound = max_group_rows(rows.sparkSession)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
     if total["largest"] <= bound:
