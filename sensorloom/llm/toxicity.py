@@ -1,9 +1,10 @@
 """Toxic passages: maximum-scoring segments of token log-odds.
 
 Token weights are log-odds of toxic against clean labelled documents with an informative Dirichlet
-prior. Over a text's weights, a linear scan finds every maximal scoring segment. Segment scores
-become expected counts of chance segments as good (extreme-value statistics of maximal segments),
-and a logistic fit on the labelled rows turns a document's best one into a score from 0 to 1.
+prior, the token shares of the whole corpus. Over a text's weights, a linear scan finds every maximal scoring
+segment. Segment scores become expected counts of chance segments as good (extreme-value statistics of maximal
+segments, fitted to the best segments of all texts by their length), and a logistic fit on the labelled rows
+turns a document's best one into a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..settings import checkpoint
 from .rows import fields, importable, per_text
 
-# The classifier learns from at most this many labelled rows (those with the smallest hash of
-# their id), which are broadcast with their labels; the weights kept are the clearest ones.
+# The classifier learns from at most this many labelled ids (those with the smallest hash), which are broadcast
+# with their labels; only tokens of their texts can have a weight. Token shares and the best segments
+# behind the extreme-value fit are those of all documents.
 MAX_LABELLED = 20_000
-MAX_WEIGHTS = 20_000
 # The prior: so many texts with the corpus's token shares, and half a text for every token, so that
 # a token never seen in clean texts has a finite spread.
 PRIOR, FLOOR = 500.0, 0.5
@@ -33,18 +35,21 @@ DRIFT = 0.05
 SIGNIFICANT = 0.05
 EDGES = ".,;:!?\"'()[]*_#$%&|<>"
 KEPT_TOKENS = 500_000
+BIN = 0.25  # of segment scores, in counts by length
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """Weights of tokens (others weigh ``-drift``), the extreme-value rate, and the logistic fit."""
+    """Weights of tokens (others weigh ``-drift``), the extreme-value fit (of a text of n tokens, chance segments that
+    score x are expected scale * n**growth * exp(-rate * x) times), and the logistic fit."""
 
     weights: dict[str, float]
     rate: float
     scale: float = 0.1
+    growth: float = 1.0
     drift: float = DRIFT
     bias: float = -2.0
-    slopes: tuple[float, float] = (1.0, 0.0)
+    slope: float = 1.0
 
 
 class _Weights(dict):
@@ -96,8 +101,7 @@ def _finder(model: ToxicModel):
         for text in texts:
             tokens = text.lower().split()
             found = segments(np.fromiter(map(held[0].__getitem__, tokens), float, len(tokens)))
-            # Chance segments as good are expected scale * length * exp(-rate * score) times.
-            size = math.log(max(1.0, model.scale * len(tokens)))
+            size = math.log(model.scale) + model.growth * math.log(max(1, len(tokens)))
             best = max((s for _, _, s in found), default=0.0)
             clear = [f for f in found if size - model.rate * f[2] <= math.log(SIGNIFICANT)]
             yield len(tokens), (model.rate * best - size) if found else -size, len(clear), clear
@@ -111,45 +115,125 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicModel:
     """A model from labelled rows that are not held out. Rows without id or label teach nothing, an
-    id with several labels is toxic if one says so. Without rows of both kinds no token has weight.
+    id with several labels is toxic if one says so, and of an id with several texts the largest counts. Without
+    labels of both kinds no token has weight.
     """
     spark = docs.sparkSession
+    importable(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    importable(spark)
-    counts = texts.select("text", "toxic").mapInArrow(_count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    totals = counts.agg(F.sum("t"), F.sum("c")).first()
-    n_toxic, n_clean = (float(x or 0) for x in totals)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # One text per labelled id, however often rows repeat it: at most ``max_labelled`` rows from here on.
+    texts = checkpoint(plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"))
+    counts = token_counts(texts, plain)
+    totals = counts.agg(F.sum("t"), F.sum("c"), F.sum("every")).first()
+    n_toxic, n_clean, n_all = (float(x or 0) for x in totals)
     if not n_toxic or not n_clean:
         return ToxicModel({}, 1.0)
-    prior = PRIOR * (F.col("t") + F.col("c")) / (n_toxic + n_clean) + FLOOR
-    odds = lambda n, of: F.log((F.col(n) + prior) / (of + PRIOR - F.col(n) - prior))
-    weighed = counts.withColumn("weight", odds("t", n_toxic) - odds("c", n_clean)).withColumn("spread", F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
-    rare = (F.col("c") + prior) / (n_clean + PRIOR)
-    clear = weighed.filter(F.abs(F.col("weight") / F.col("spread")) >= CLEAR).orderBy(F.desc(F.abs(F.col("weight") / F.col("spread"))), "token").limit(MAX_WEIGHTS)
-    rows = clear.select("token", "weight", rare.alias("rare")).collect()
-    weights = {r["token"]: float(r["weight"]) for r in rows}
-    model = ToxicModel(weights, _rate([(r["weight"], r["rare"]) for r in rows], DRIFT))
+    weights, chances = {}, []
+    for r in clear_tokens(counts, n_toxic, n_clean, n_all).collect():  # tokens of at most ``max_labelled`` texts
+        weights[r["token"]] = float(r["weight"])
+        chances.append((float(r["weight"]), r["every"] * r["clean"] / n_all))
+    model = ToxicModel(weights, _rate(chances, DRIFT))
+    scale, growth = fit_extremes(segment_maxima(plain, model), model.rate)
+    model = replace(model, scale=scale, growth=growth)
     found = per_text(spark, _finder(model), _FOUND)
-    fitted = texts.select("toxic", found(F.col("text")).alias("f")).select("toxic", "f.evidence", "f.n_passages").collect()
-    bias, *slopes = _logistic(np.array([[r["evidence"], r["n_passages"]] for r in fitted], float), np.array([r["toxic"] for r in fitted], float))
-    return ToxicModel(weights, model.rate, bias=bias, slopes=tuple(slopes))
+    fitted = texts.select("toxic", found(F.col("text")).alias("f")).select("toxic", "f.evidence").collect()
+    rows = np.array(sorted((r["evidence"], r["toxic"]) for r in fitted), float)
+    bias, slope = _logistic(rows[:, 0], rows[:, 1])
+    return replace(model, bias=bias, slope=max(slope, 0.0))
+
+
+def token_counts(texts: DataFrame, everything: DataFrame) -> DataFrame:
+    """(token, t, c, every): in how many toxic and clean labelled texts and in how many of all texts a token stands."""
+    none = F.lit(None).cast("int")
+    schema = "token string, t long, c long, every long"
+    parts = [texts.select("text", "toxic"), everything.select("text", none.alias("toxic"))]
+    return parts[0].mapInArrow(_count, schema).union(parts[1].mapInArrow(_count, schema)).groupBy("token").agg(*[F.sum(n).alias(n) for n in ("t", "c", "every")])
+
+
+def clear_tokens(counts: DataFrame, n_toxic: float, n_clean: float, n_all: float) -> DataFrame:
+    """(token, weight, every, clean): log-odds of toxic against clean texts, where they are clear of chance, and the
+    share of clean texts among the labelled ones that hold the token."""
+    prior = PRIOR * F.col("every") / n_all + FLOOR
+    odds = lambda n, of: F.log((F.col(n) + prior) / (of + PRIOR - F.col(n) - prior))
+    clean = (F.col("c") + prior) / (F.col("t") + F.col("c") + 2 * prior)
+    seen = counts.filter((F.col("t") > 0) | (F.col("c") > 0))
+    weighed = seen.withColumn("weight", odds("t", n_toxic) - odds("c", n_clean)).withColumn("spread", F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
+    return weighed.filter(F.abs(F.col("weight") / F.col("spread")) >= CLEAR).select("token", "weight", "every", clean.alias("clean"))
+
+
+def segment_maxima(texts: DataFrame, model: ToxicModel) -> DataFrame:
+    """(length, best, n): how many texts of 2**length tokens or more have a best segment of about ``best``. A few hundred rows."""
+    find = per_text(texts.sparkSession, _maxima(model), T.StructType([T.StructField("length", T.IntegerType()), T.StructField("best", T.DoubleType())]))
+    return texts.select(find(F.col("text")).alias("m")).select("m.*").filter("length is not null").groupBy("length", "best").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _maxima(model: ToxicModel):
+    held: list[_Weights] = []
+
+    def find(texts: list[str]) -> Iterable[tuple]:
+        if not held:
+            held.append(_Weights(model))
+        for text in texts:
+            tokens = text.lower().split()
+            best = max((s for _, _, s in segments(np.fromiter(map(held[0].__getitem__, tokens), float, len(tokens)))), default=0.0)
+            yield (len(tokens).bit_length() - 1, math.ceil(best / BIN) * BIN) if tokens else (None, None)
+
+    return find
+
+
+def fit_extremes(maxima: DataFrame, rate: float) -> tuple[float, float]:
+    """scale and growth from the best segments of texts by length: the share of texts whose best segment reaches a
+    height x is 1 - exp(-scale * n**growth * exp(-rate * x)), so its complementary log-log is a line in log n. The height is
+    the median of the best segments of texts that have any."""
+    found: dict[int, Counter] = {}
+    for r in maxima.collect():
+        found.setdefault(r["length"], Counter())[r["best"]] += r["n"]
+    heights = sorted((best, sum(c[best] for c in found.values())) for best in {b for c in found.values() for b in c if b > 0})
+    if not heights:
+        return 0.1, 1.0
+    half, seen, height = sum(n for _, n in heights) / 2, 0, heights[-1][0]
+    for best, n in heights:
+        seen += n
+        if seen >= half:
+            height = best
+            break
+    x, y, weight = [], [], []
+    for length, counts in sorted(found.items()):
+        n, above = counts.total(), sum(k for best, k in counts.items() if best >= height)
+        if 0 < above < n:
+            x.append(math.log(1.5 * 2**length))
+            y.append(math.log(-math.log(1 - above / n)) + rate * height)
+            weight.append(above)
+    if not x:
+        return 0.1, 1.0
+    x, y, weight = np.array(x), np.array(y), np.array(weight, float)
+    mean_x, mean_y = np.average(x, weights=weight), np.average(y, weights=weight)
+    spread = np.average((x - mean_x) ** 2, weights=weight)
+    growth = float(np.clip(np.average((x - mean_x) * (y - mean_y), weights=weight) / spread, 0.0, 2.0)) if spread > 1e-9 else 1.0
+    return float(math.exp(mean_y - growth * mean_x)), growth
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each token stands."""
+    """In how many toxic, clean and unlabelled texts each token stands. Counters are handed on before they grow large."""
+    kinds: dict[int | None, Counter] = {1: Counter(), 0: Counter(), None: Counter()}
     for batch in batches:
-        kinds: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             kinds[toxic].update({token.strip(EDGES) for token in text.lower().split()})
-        tokens = list(kinds[0].keys() | kinds[1].keys())
-        for start in range(0, len(tokens), 50_000):
-            part = tokens[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), pa.array([kinds[1][t] for t in part], pa.int64()), pa.array([kinds[0][t] for t in part], pa.int64())], ["token", "toxic", "clean"]
-            )
+        if sum(map(len, kinds.values())) > KEPT_TOKENS:
+            yield from _handed_on(kinds)
+    yield from _handed_on(kinds)
+
+
+def _handed_on(kinds: dict[int | None, Counter]) -> Iterator[pa.RecordBatch]:
+    tokens = list(set().union(*kinds.values()))
+    for start in range(0, len(tokens), 50_000):
+        part = tokens[start : start + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in kinds.values())], ["token", "t", "c", "every"])
+    for counter in kinds.values():
+        counter.clear()
 
 
 def _rate(weights: list[tuple[float, float]], drift: float) -> float:
@@ -168,19 +252,19 @@ def _rate(weights: list[tuple[float, float]], drift: float) -> float:
     return max(low, 0.05)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression with a small ridge, by Newton steps; at most MAX_LABELLED rows."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one measure with a small ridge, by Newton steps; at most MAX_LABELLED rows."""
+    scale = max(float(np.abs(x).max()), 1e-9)
     design = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(design.shape[1])
+    w = np.zeros(2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         gradient = design.T @ (y - p) - 1e-3 * w
-        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + 1e-3 * np.eye(len(w)), gradient)
+        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + 1e-3 * np.eye(2), gradient)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return [float(w[0]), *(float(v) for v in w[1:] / scale)]
+    return float(w[0]), float(w[1] / scale)
 
 
 def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -192,6 +276,6 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
     find = per_text(docs.sparkSession, _finder(model), _FOUND)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text")).alias("f"))
     rows = found.select("doc_id", *fields(found, "f"))
-    logit = F.lit(model.bias) + F.lit(model.slopes[0]) * F.col("evidence") + F.lit(model.slopes[1]) * F.col("n_passages")
+    logit = F.lit(model.bias) + F.lit(model.slope) * F.col("evidence")
     score = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
     return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
