@@ -33,6 +33,7 @@ PRIOR, FLOOR = 500.0, 0.5
 CLEAR = 3.0
 DRIFT = 0.05
 SIGNIFICANT = 0.05
+CERTAIN = 7.0  # one chance in a thousand
 EDGES = ".,;:!?\"'()[]*_#$%&|<>"
 KEPT_TOKENS = 500_000
 BIN = 0.25  # of segment scores, in counts by length
@@ -86,6 +87,7 @@ _FOUND = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("evidence", T.DoubleType()),
+        T.StructField("surprise", T.DoubleType()),
         T.StructField("n_passages", T.LongType()),
         T.StructField("passages", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))),
     ]
@@ -104,11 +106,20 @@ def _finder(model: ToxicModel):
             size = math.log(model.scale) + model.growth * math.log(max(1, len(tokens)))
             best = max((s for _, _, s in found), default=0.0)
             clear = [f for f in found if size - model.rate * f[2] <= math.log(SIGNIFICANT)]
-            yield len(tokens), (model.rate * best - size) if found else -size, len(clear), clear
+            evidence = model.rate * best - size
+            yield len(tokens), evidence, surprise(evidence), len(clear), clear
 
     return find
 
 
+def surprise(evidence: float) -> float:
+    """-log of the chance that a text without toxic passages has a segment as good, by the extreme-value law; beyond
+    CERTAIN it grows slowly, so that very long passages do not rule the logistic fit."""
+    chance = -math.expm1(-math.exp(min(-evidence, 30.0)))
+    found = -math.log(max(chance, 1e-300))
+    return found if found <= CERTAIN else CERTAIN + math.log1p(found - CERTAIN)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -139,8 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     scale, growth = fit_extremes(segment_maxima(plain, model), model.rate)
     model = replace(model, scale=scale, growth=growth)
     found = per_text(spark, _finder(model), _FOUND)
-    fitted = texts.select("toxic", found(F.col("text")).alias("f")).select("toxic", "f.evidence").collect()
-    rows = np.array(sorted((r["evidence"], r["toxic"]) for r in fitted), float)
+    fitted = texts.select("toxic", found(F.col("text")).alias("f")).select("toxic", "f.surprise").collect()
+    rows = np.array(sorted((r["surprise"], r["toxic"]) for r in fitted), float)
     bias, slope = _logistic(rows[:, 0], rows[:, 1])
     return replace(model, bias=bias, slope=max(slope, 0.0))
 
@@ -269,13 +280,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """One row per document: doc_id, n_tokens, evidence (log odds of the best segment against
-    chance), n_passages, passages (token spans [start, end) with scores that chance rarely gives),
+    chance), surprise, n_passages, passages (token spans [start, end) with scores that chance rarely gives),
     score and predicted. Null and empty texts have no passage and the lowest score. Repeated rows and
     null ids are scored like others; other columns are not read.
     """
     find = per_text(docs.sparkSession, _finder(model), _FOUND)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text")).alias("f"))
     rows = found.select("doc_id", *fields(found, "f"))
-    logit = F.lit(model.bias) + F.lit(model.slope) * F.col("evidence")
+    logit = F.lit(model.bias) + F.lit(model.slope) * F.col("surprise")
     score = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
     return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

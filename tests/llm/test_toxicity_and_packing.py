@@ -65,7 +65,9 @@ def plain_toxicity(docs, labels):
 
     def evidence(text):
         b, n = best(text)
-        return (rate * b if b > 0 else 0.0) - math.log(scale) - growth * math.log(max(1, n))
+        expected = scale * max(1, n) ** growth * math.exp(-rate * b)
+        value = -math.log(1 - math.exp(-expected)) if expected > 1e-9 else -math.log(expected)
+        return value if value <= toxicity.CERTAIN else toxicity.CERTAIN + math.log(1 + value - toxicity.CERTAIN)
 
     rows = np.array(sorted((evidence(text), known[i]) for i, text in texts.items()))
     bias, slope = toxicity._logistic(rows[:, 0], rows[:, 1])
