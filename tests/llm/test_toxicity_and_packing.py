@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import queries, toxicity
+from sensorloom.llm import packing, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 has_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
@@ -119,3 +119,89 @@ def test_extreme_values_are_fitted_by_length():
     scale, growth = toxicity.fit_extremes(Rows(), 0.7)
     assert growth == pytest.approx(0.8, abs=0.08) and math.log(scale) == pytest.approx(math.log(0.02), abs=0.4)
     assert toxicity.fit_extremes(type("No", (), {"collect": lambda self: []})(), 1.0) == (0.1, 1.0)
+
+
+# --- packing ---------------------------------------------------------------------------------------
+
+
+def packed_well(rows, encoded, capacity=1024):
+    """Every id in one piece, right checksums, gapless sequences; the padding they need."""
+    pieces, places = Counter(), {}
+    for r in rows:
+        pieces[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    by_doc = {}
+    for (doc_id, start, length, crc, total), n in pieces.items():
+        by_doc.setdefault(doc_id, []).append((start, length, crc, total, n))
+    for doc_id, ids in encoded.items():
+        at = 0
+        for start, length, crc, total, n in sorted(by_doc.pop(doc_id)):
+            assert start == at and total == len(ids) and n == 1
+            assert crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not by_doc
+    padding = 0
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    return padding / sum(map(len, encoded.values()))
+
+
+@has_tables
+def test_packing_query_keeps_every_id_and_pads_little(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(packing.default_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    encoded = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    assert packed_well(queries.REGISTRY["op4_packing"](spark, FOLDER).collect(), encoded) < 0.003
+
+
+def test_repeated_rows_and_ids_are_torn_apart_rightly(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(packing.default_path())
+    texts = ["one two three " * 90, "four five " * 300, "six", "", None, "seven " * 2000]
+    rows = [(i % 4 if i % 5 else None, texts[i % len(texts)]) for i in range(60)] + [(1, texts[0])] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("rank", F.lit("clash"))
+    found = packing.pack_documents(docs, with_ids=True).collect()
+    tokens = Counter()
+    for _, text in rows:
+        tokens.update([*library.encode(text or "", add_special_tokens=False).ids, 0])
+    assert Counter(i for r in found for i in r.ids) == tokens
+    places = {}
+    for r in found:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in places.values():
+        total = sum(n for _, n in spans)
+        assert [o for o, _ in sorted(spans)] == [sum(n for o, n in spans if o < p) for p, _ in sorted(spans)] and total <= 1024
+
+
+def test_torn_rest_has_no_padding():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        left = Counter({int(n): int(rng.integers(1, 4)) for n in rng.integers(1, 65, 5)})
+        sizes, seen = Counter(), Counter()
+        for length, number, start, end, sequence, offset in packing.tear(left, 64, 7):
+            assert sequence >= 7 and sizes[sequence] == offset
+            sizes[sequence] += end - start
+            seen[length, number] += end - start
+        assert seen == {(n, k): n for n, c in left.items() for k in range(c)}
+        assert all(size == 64 or size & (size - 1) == 0 for size in sizes.values())
+
+
+def test_files_whose_ids_do_not_follow_their_rules_are_refused(tmp_path):
+    import json
+
+    config = json.load(open(packing.default_path(), encoding="utf-8"))
+    vocab, merges = config["model"]["vocab"], config["model"]["merges"]
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges[:2]]
+    vocab[joined[0]], vocab[joined[1]] = vocab[joined[1]], vocab[joined[0]]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(config))
+    with pytest.raises(ValueError, match="order of its merge rules"):
+        packing.QuickBpe(str(path))
