@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # One text per labelled id, however often rows repeat it: at most ``max_labelled`` rows from here on.
     texts = checkpoint(plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"))
-    counts = token_counts(texts, plain)
+    counts = checkpoint(token_counts(texts, plain))
     totals = counts.agg(F.sum("t"), F.sum("c"), F.sum("every")).first()
     n_toxic, n_clean, n_all = (float(x or 0) for x in totals)
     if not n_toxic or not n_clean:
