@@ -57,7 +57,7 @@ def latest_full_response(records: DataFrame, max_history: int = MAX_HISTORY) ->
     before = lambda along: F.last(F.when(F.col("full"), F.col("stored")), True).over(along)
     if not total:
         return records.withColumn("before", before(order))
-    crowded = F.broadcast(checkpoint(sizes.select("url_key")))
+    crowded = checkpoint(sizes.select("url_key"))  # grows with the archive: a join that Spark plans by its size
     few = records.join(crowded, "url_key", "left_anti").withColumn("before", before(order))
     sliced = cut_by_rows(records.join(crowded, "url_key", "left_semi"), total, max_history)
     ends = sliced.filter("full").groupBy("url_key", "slice").agg(F.max_by("stored", F.struct("at", "record_id")).alias("end"))
