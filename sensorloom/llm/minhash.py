@@ -396,3 +396,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     hashed = identified.withColumn(spot, F.xxhash64(F.coalesce("text", F.lit(""))))
     named = hashed.join(ids, (hashed["doc_id"].cast("long") == ids["kept_id"]) & (hashed[spot] == ids["kept_hash"]), "left_semi")
     return named.drop(spot).unionByName(numbered.join(rows, row, "left_semi").drop(row))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """The rows with those that repeat both doc_id and text (nulls alike) reduced to one. Only rows of ids that occur
+    more than once are exchanged with their texts."""
+    key = fresh(docs, "repeated")
+    often = checkpoint(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(key)))
+    same = docs["doc_id"].eqNullSafe(often[key])
+    return docs.join(often, same, "left_anti").unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
