@@ -1,5 +1,9 @@
 """From raw documents to packed sequences: quality rules, line deduplication, near-duplicates,
-secret scans, packing. Each stage reads what the one before it kept."""
+secret scans, packing. Each stage reads what the one before it kept.
+
+All stages but the last return the columns of documents, others (also with clashing names) included. Null and empty texts
+fail the quality rules; rows without id take part like others; of rows that repeat id and text one leaves the
+near-duplicate stage; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -22,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays (five words, similarity 0.8)."""
-    return minhash.drop_near_duplicates(docs)
+    """The document with the smallest id of each group stays (five words, similarity 0.8), once where rows repeat it."""
+    return minhash.one_row_each(minhash.drop_near_duplicates(docs))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
