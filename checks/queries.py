@@ -87,6 +87,12 @@ def sizes(spark: SparkSession, folder: str) -> Skew:
     return measure(panel_raw(spark, folder).select("entity", "ts"), PANEL)
 
 
+def measured(spark: SparkSession, folder: str, holes: bool = False) -> tuple[DataFrame, Skew]:
+    """The panel and its entity sizes; where these are plain, its exchange serves the windows per entity too."""
+    skew = sizes(spark, folder)
+    return panel(spark, folder, holes, skew), skew
+
+
 FEATURE_DIGITS = {"_change_": 6, "_roll_mean_": 5, "_roll_std_": 3}
 
 
@@ -206,7 +212,8 @@ def clean_table(spark, folder):
 
 
 def _interpolated(spark, folder):
-    filled = interpolate_time(panel(spark, folder, holes=True), PANEL, limit=2, skew=sizes(spark, folder))
+    frame, skew = measured(spark, folder, holes=True)
+    filled = interpolate_time(frame, PANEL, limit=2, skew=skew)
     return rounded(filled.select("entity", "ts", "s1", "s2"), {"s1": 6})
 
 
@@ -226,7 +233,8 @@ def interpolate_gaps_long_entities(spark, folder):
 
 @query
 def split_manifest(spark, folder):
-    return chronological_split(panel(spark, folder), PANEL, gap_rows=24, skew=sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    return chronological_split(frame, PANEL, gap_rows=24, skew=skew)
 
 
 @query
@@ -243,12 +251,14 @@ def split_joined(spark, folder):
 
 @query
 def split_by_window(spark, folder):
-    return with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, 0.6, 0.2, 10, sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    return with_splits(frame.select("entity", "ts", "s1"), PANEL, 0.6, 0.2, 10, skew)
 
 
 @query
 def leakage_free(spark, folder):
-    return drop_boundary_gap(with_splits(panel(spark, folder).select("entity", "ts", "s1"), PANEL, gap_rows=24, skew=sizes(spark, folder)))
+    frame, skew = measured(spark, folder)
+    return drop_boundary_gap(with_splits(frame.select("entity", "ts", "s1"), PANEL, gap_rows=24, skew=skew))
 
 
 # --- targets -------------------------------------------------------------------------
@@ -256,20 +266,20 @@ def leakage_free(spark, folder):
 
 @query
 def future_value(spark, folder):
-    frame = panel(spark, folder).select("entity", "ts", "s1")
-    return future_point(frame, PANEL, "s1", 6, "s1_in_6", sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    return future_point(frame.select("entity", "ts", "s1"), PANEL, "s1", 6, "s1_in_6", skew)
 
 
 @query
 def future_label(spark, folder):
-    frame = panel(spark, folder).select("entity", "ts", "t3")
-    return future_event(frame, PANEL, "t3", 24, "t3_within_24", sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    return future_event(frame.select("entity", "ts", "t3"), PANEL, "t3", 24, "t3_within_24", skew)
 
 
 @query
 def future_label_missing_values(spark, folder):
-    frame = panel(spark, folder, holes=True).select("entity", "ts", "s1")
-    return future_event(frame, PANEL, "s1", 3, "s1_peak", sizes(spark, folder))
+    frame, skew = measured(spark, folder, holes=True)
+    return future_event(frame.select("entity", "ts", "s1"), PANEL, "s1", 3, "s1_peak", skew)
 
 
 @query
@@ -296,20 +306,21 @@ def cyclic_features(spark, folder):
 
 @query
 def lag_change(spark, folder):
-    frame = panel(spark, folder).select("entity", "ts", "s1", "s2")
-    found = series_features(frame, PANEL, ("s1", "s2"), LAGS, LAGS, (), (), "double", sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    found = series_features(frame.select("entity", "ts", "s1", "s2"), PANEL, ("s1", "s2"), LAGS, LAGS, (), (), "double", skew)
     return rounded(found, FEATURE_DIGITS)
 
 
 @query
 def rolling_statistics(spark, folder):
-    frame = panel(spark, folder, holes=True).select("entity", "ts", "s1", "s2")
-    found = series_features(frame, PANEL, ("s1", "s2"), (), (), WINDOWS, ("mean", "std", "min", "max"), "double", sizes(spark, folder))
+    frame, skew = measured(spark, folder, holes=True)
+    found = series_features(frame.select("entity", "ts", "s1", "s2"), PANEL, ("s1", "s2"), (), (), WINDOWS, ("mean", "std", "min", "max"), "double", skew)
     return rounded(found, FEATURE_DIGITS)
 
 
 def _features(spark, folder):
-    found = common_features(panel(spark, folder), PANEL, output_type="double", skew=sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    found = common_features(frame, PANEL, output_type="double", skew=skew)
     return rounded(found.drop("hour_sin", "hour_cos", "day_of_year_sin", "day_of_year_cos", *PANEL.labels), FEATURE_DIGITS)
 
 
@@ -334,7 +345,8 @@ def dataset_summary(spark, folder):
 
 @query
 def sampling_interval(spark, folder):
-    return profile.sampling_interval(panel(spark, folder), PANEL, sizes(spark, folder))
+    frame, skew = measured(spark, folder)
+    return profile.sampling_interval(frame, PANEL, skew)
 
 
 @query
@@ -741,7 +753,8 @@ def event_lead_time_long_entities(spark, folder):
 
 
 def _split_panel(spark, folder):
-    return with_splits(panel(spark, folder, holes=True), PANEL, gap_rows=24, skew=sizes(spark, folder))
+    frame, skew = measured(spark, folder, holes=True)
+    return with_splits(frame, PANEL, gap_rows=24, skew=skew)
 
 
 @query

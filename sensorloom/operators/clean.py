@@ -45,17 +45,20 @@ def canonical_types(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumns(typed)
 
 
-def keep_last(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def keep_last(df: DataFrame, spec: PanelSpec, skew: Skew | None = None) -> DataFrame:
     """Keep the last arrival of every (entity, timestamp).
 
     ``row_number() = 1`` lets Spark drop all but one row per key before the exchange,
-    so a key with very many copies costs one row per map task.
+    so a key with very many copies costs one row per map task. Where ``skew`` says that every
+    entity fits one task, rows are exchanged by entity instead, and the windows per entity that follow need
+    no exchange of their own.
     """
     absent = [name for name in spec.arrival if name not in df.columns]
     if absent:
         raise ValueError(f"Keep-last needs the arrival order; missing columns: {absent}")
     newest = Window.partitionBy(*spec.keys).orderBy(*[F.col(name).desc() for name in spec.arrival])
-    return df.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    rows = df.repartition(spec.entity) if skew is not None and skew.plain else df
+    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
 def sort_panel(df: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Equal values are counted first (combined before the exchange), then ranks are counted
 over the distinct values. A measured distinct count decides how: few distinct values
-are ordered in one window per column; many are first counted per value range (cut
-points, see ``ordered``), and only the one or two ranges that hold the wanted ranks are
-ordered. Cut points steer balance alone; the results are exact either way.
+are ordered in one window per column; many are dealt to ranges of about equal size (see
+``ranking``) and counted there, and only the one or two ranges that hold the wanted ranks are
+ordered. Ranges steer balance alone; the results are exact either way.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import known
 from ..settings import max_distinct
-from .ordered import cut_points, piece_number, pieces_for
+from .ranking import laid_out, range_of
 
 
 def column_quantiles(
@@ -52,11 +52,7 @@ def column_quantiles(
     if few:
         parts.append(quantiles_of_counts(_long(values, few), ["column"], fractions))
     if many:
-        pieced = values
-        pieces = pieces_for(max(sizes[name] for name in many), bound)
-        for name, cuts in cut_points(values, many, sizes["rows"], pieces).items():
-            pieced = piece_number(pieced, name, cuts, f"{name}_piece")
-        parts.append(quantiles_of_ranges(_long(pieced, many, pieces=True), ["column"], fractions))
+        parts.append(quantiles_of_ranges(ranged(_long(values, many), ["column"]), ["column"], fractions))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     listed = df.sparkSession.createDataFrame(
@@ -68,12 +64,9 @@ def column_quantiles(
     )
 
 
-def _long(values: DataFrame, names: Sequence[str], pieces: bool = False) -> DataFrame:
-    """One row (column, value, [piece], _weight) per known value."""
-    cells = []
-    for name in names:
-        piece = [F.col(f"{name}_piece").alias("piece")] if pieces else []
-        cells.append(F.struct(F.lit(name).alias("column"), F.col(name).alias("value"), *piece))
+def _long(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row (column, value, _weight) per known value."""
+    cells = [F.struct(F.lit(name).alias("column"), F.col(name).alias("value")) for name in names]
     return (
         values.select(F.explode(F.array(*cells)).alias("cell"), "_weight")
         .select("cell.*", "_weight")
@@ -81,6 +74,14 @@ def _long(values: DataFrame, names: Sequence[str], pieces: bool = False) -> Data
     )
 
 
+def ranged(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, value, _weight), equal ones added up, with ``piece``: ranges of about equal size over all groups,
+    however large one of them is or however close its values lie together."""
+    counted = long.groupBy(*keys, "value").agg(F.sum("_weight").alias("_weight"))
+    laid, place = laid_out(counted, [*[F.col(key) for key in keys], F.col("value")])
+    return laid.withColumn("piece", range_of(place)).drop(place)
+
+
 def _rank(fraction: float) -> Column:
     return F.lit(float(fraction)) * (F.col("total") - 1)
 

@@ -15,11 +15,11 @@ GAP = "is_boundary_gap"
 
 def check_fractions(train: float, validation: float) -> None:
     if not 0 < train < 1:
-        raise ValueError("train fraction must be between 0 and 1")
+        raise ValueError(f"train is {train}, which is no share between 0 and 1")
     if not 0 < validation < 1:
-        raise ValueError("validation fraction must be between 0 and 1")
+        raise ValueError(f"validation is {validation}, which is no share between 0 and 1")
     if train + validation >= 1:
-        raise ValueError("train and validation fractions must sum to less than 1")
+        raise ValueError(f"train and validation leave no rows for the test split ({train} + {validation})")
 
 
 def with_splits(

@@ -28,6 +28,7 @@ def build_session(app: str = "sensorloom", master: str | None = None, **options:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in options.items():
         builder = builder.config(key.replace("__", "."), value)

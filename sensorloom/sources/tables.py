@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import keep_last
+from ..operators.ordered import Skew
 from ..spec import PanelSpec
 
 SENSORS = ("s1", "s2", "s3", "s4")
@@ -61,9 +62,9 @@ def panel_raw(spark: SparkSession, folder: str, holes: bool = False) -> DataFram
     )
 
 
-def panel(spark: SparkSession, folder: str, holes: bool = False) -> DataFrame:
+def panel(spark: SparkSession, folder: str, holes: bool = False, skew: Skew | None = None) -> DataFrame:
     """``panel_raw`` with one row per (entity, timestamp)."""
-    return keep_last(panel_raw(spark, folder, holes), PANEL).drop(*PANEL.arrival)
+    return keep_last(panel_raw(spark, folder, holes), PANEL, skew).drop(*PANEL.arrival)
 
 
 def live_raw(spark: SparkSession, folder: str) -> DataFrame:

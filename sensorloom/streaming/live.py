@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import epoch_micros, known, lenient_number, strict_timestamp, strip
-from ..operators.ordered import cut_points, piece_number, pieces_for
-from ..operators.quantiles import quantiles_of_ranges
+from ..operators.quantiles import quantiles_of_ranges, ranged
 from ..settings import checkpoint, max_group_rows
 from ..spec import PanelSpec
 
@@ -95,7 +94,7 @@ def median_per_window(rows: DataFrame, spec: PanelSpec) -> DataFrame:
         # However many windows are crowded, they stay a table; a join can split those it finds long.
         crowded = checkpoint(sizes.filter(F.col("n") > bound).select(*keys))
         few = rows.join(crowded, keys, "left_anti").groupBy(*keys).agg(*_medians(spec))
-        many = _crowded_medians(rows.join(crowded, keys, "left_semi"), keys, spec, total["rows"])
+        many = _crowded_medians(rows.join(crowded, keys, "left_semi"), keys, spec)
         medians = few.unionByName(many)
     return _some_value(medians.select(spec.entity, F.col("_start").alias(spec.timestamp), *spec.sensors), spec)
 
@@ -122,17 +121,11 @@ def _anchored(rows: DataFrame, spec: PanelSpec, seconds: int) -> DataFrame:
     return rows.join(first, [spec.entity, "_salt"]).withColumn("_start", start).drop("_origin", "_salt")
 
 
-def _crowded_medians(rows: DataFrame, keys: list[str], spec: PanelSpec, total: int) -> DataFrame:
+def _crowded_medians(rows: DataFrame, keys: list[str], spec: PanelSpec) -> DataFrame:
     """Medians of groups too large for one task, by counting ranks over value ranges."""
-    bound = max_group_rows(rows.sparkSession)
-    pieced = rows
-    for sensor, cuts in cut_points(rows, spec.sensors, total, pieces_for(total, bound)).items():
-        pieced = piece_number(pieced, sensor, cuts, f"_piece_{sensor}")
-    triples = F.array(
-        *[F.struct(F.lit(s).alias("column"), F.col(s).alias("value"), F.col(f"_piece_{s}").alias("piece")) for s in spec.sensors]
-    )
-    long = pieced.select(*keys, F.explode(triples).alias("t")).select(*keys, "t.*", F.lit(1).alias("_weight"))
-    found = quantiles_of_ranges(long.filter(F.col("value").isNotNull()), [*keys, "column"], [0.5])
+    cells = F.array(*[F.struct(F.lit(s).alias("column"), F.col(s).alias("value")) for s in spec.sensors])
+    long = rows.select(*keys, F.explode(cells).alias("t")).select(*keys, "t.*", F.lit(1).alias("_weight")).filter(F.col("value").isNotNull())
+    found = quantiles_of_ranges(ranged(long, [*keys, "column"]), [*keys, "column"], [0.5])
     middle = F.element_at("quantiles", 1)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == s, middle)).alias(s) for s in spec.sensors])
 
