@@ -515,3 +515,17 @@ Q["stream_live_features"] = f"""SELECT * FROM ({Q["live_feature_set"]})
 WHERE ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR"""
 Q["resample_stream_seven_hours"] = f"""SELECT * FROM ({Q["resample_seven_hours"]})
 WHERE ts + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+# --- written reports and the other modes -----------------------------------------------------------
+Q["label_timeline_count"] = _MONTHLY + "\nSELECT month, CAST(t3 AS DOUBLE) AS value FROM monthly"
+Q["coverage_records"] = _COVERAGE + "\nSELECT entity, CAST(records AS DOUBLE) AS value FROM coverage"
+Q["coverage_percentage"] = _COVERAGE + "\nSELECT entity, round(least(100.0, CAST(records AS DOUBLE) / expected_records * 100), 3) AS value FROM coverage"
+Q["sorted_output"] = f"WITH {PANEL} SELECT entity, ts, s1, row_number() OVER (ORDER BY entity, ts) AS place FROM panel"
+Q["report_missing_values"] = f"WITH {PANEL}\n" + union([f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM panel" for c in (*SENSORS, *LABELS)])
+Q["report_entity_coverage"] = f"WITH {PANEL} SELECT entity, count(*) AS rows, CAST(min(ts) AS DATE) AS start, CAST(max(ts) AS DATE) AS \"end\" FROM panel GROUP BY entity"
+_MEANS_4 = ", ".join(f"round(avg({s}), 4) AS {s}" for s in SENSORS)
+Q["report_hourly_patterns"] = f"WITH {PANEL} SELECT hour(ts) AS hour, {_MEANS_4} FROM panel GROUP BY 1"
+Q["report_weekday_patterns"] = f"WITH {PANEL} SELECT dayname(ts) AS weekday, {_MEANS_4} FROM panel GROUP BY 1"
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in LABELS)
+Q["report_monthly_target_counts"] = f"WITH {PANEL} SELECT strftime(ts, '%Y-%m') AS month, {_SUMS} FROM panel GROUP BY 1"
+Q["report_target_by_entity"] = f"WITH {PANEL} SELECT entity, {_SUMS} FROM panel GROUP BY entity"

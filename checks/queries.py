@@ -15,6 +15,7 @@ from sensorloom.operators.asof import as_of_join
 from sensorloom.operators.clean import canonical_types, clean, interpolate_time, keep_last
 from sensorloom.operators.features import common_features, series_features, time_features
 from sensorloom.operators.ordered import Skew, measure
+from sensorloom.operators.ranking import with_positions
 from sensorloom.operators.split import chronological_split, drop_boundary_gap, join_manifest, with_splits
 from sensorloom.operators.targets import future_event, future_point
 from sensorloom.operators.validate import (
@@ -824,3 +825,77 @@ def resample_stream_seven_hours(spark, folder):
     batches.stream_anchored(stream, LIVE, f"{base}/out", f"{base}/state", frequency="7h", delay="1 hour").awaitTermination()
     found = spark.read.parquet(f"{base}/out/windows").drop("batch")
     return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), {"value": 4})
+
+
+# --- written reports and the other modes -----------------------------------------------------------
+
+
+@query
+def label_timeline_count(spark, folder):
+    return profile.label_timeline(profile.monthly_labels(panel(spark, folder), PANEL), "t3", "count")
+
+
+def _coverage_mode(spark, folder, mode):
+    frame, skew = measured(spark, folder)
+    return profile.coverage_metric(profile.entity_coverage(frame, PANEL, skew=skew), mode, "entity")
+
+
+@query
+def coverage_records(spark, folder):
+    return _coverage_mode(spark, folder, "records")
+
+
+@query
+def coverage_percentage(spark, folder):
+    return _coverage_mode(spark, folder, "coverage")
+
+
+@query
+def sorted_output(spark, folder):
+    """Rows of the sorted table with their place in the order in which it is written."""
+    base = scratch(spark, folder, "sorted_output")
+    write_panel(panel(spark, folder).select("entity", "ts", "s1"), f"{base}.parquet", PANEL)
+    stored = read_panel(spark, f"{base}.parquet").withColumnRenamed("_arrival", "read_as")
+    return with_positions(stored, [F.col("read_as")], "place").drop("read_as")
+
+
+def _report(spark, folder, name):
+    """One of the report tables, as the files hold it."""
+    path = f"{scratch(spark, folder, 'report')}/{name}"
+    write_csv_report(report_tables(panel(spark, folder), PANEL, sizes(spark, folder).rows)[name], path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def _rounded_report(spark, folder, name, digits=4):
+    found = _report(spark, folder, name)
+    return rounded(found, {c: digits for c, kind in found.dtypes if kind == "double"})
+
+
+@query
+def report_missing_values(spark, folder):
+    return _report(spark, folder, "missing_values")
+
+
+@query
+def report_entity_coverage(spark, folder):
+    return _report(spark, folder, "hive_coverage").select("entity", F.col("rows").cast("long").alias("rows"), F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+
+
+@query
+def report_hourly_patterns(spark, folder):
+    return _rounded_report(spark, folder, "hourly_patterns")
+
+
+@query
+def report_weekday_patterns(spark, folder):
+    return _rounded_report(spark, folder, "weekday_patterns")
+
+
+@query
+def report_monthly_target_counts(spark, folder):
+    return _report(spark, folder, "monthly_target_counts").withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
+@query
+def report_target_by_entity(spark, folder):
+    return _report(spark, folder, "target_by_hive")
