@@ -36,8 +36,8 @@ ROWS = 4
 MARGIN = 0.085
 # Members and shingles (8 bytes each) of one group, about.
 BLOCK = 2048
-SHINGLES = 1 << 22
-KEPT_WORDS = 500_000
+SHINGLES = 1 << 20
+KEPT_WORDS = 150_000
 
 _random = np.random.default_rng(20_240_601)
 _MULTIPLY = (_random.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
