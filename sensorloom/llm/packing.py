@@ -360,7 +360,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     whole = F.col("to") - F.col("from") == F.col("length")
     key = ["doc_id", "start", "length", "ids_crc32", "from", "to"]
     torn = rest.filter(~whole)
-    made = _torn_parts(docs, torn.select(*key), path)
+    made = checkpoint(_torn_parts(docs, torn.select(*key), path))  # nothing reads the documents after this
     same = [torn[k].eqNullSafe(made[k]) if k == "doc_id" else torn[k] == made[k] for k in key]
     both = torn.join(made, same).select(
         torn["doc_id"], (torn["start"] + torn["from"]).alias("start"), (torn["to"] - torn["from"]).alias("length"), made["part_crc32"].alias("ids_crc32"),
