@@ -783,22 +783,25 @@ def oversampled_train(spark, folder):
 # --- streams that keep tables per batch --------------------------------------------------------
 
 
-def _in_turn(spark, df, path, time, bounds):
-    """The whole table as files between time bounds, written in that order, and a stream that takes one file a batch."""
+def _in_turn(spark, df, path, time, bounds, start):
+    """The whole table as files between time bounds; each part arrives when the one before it is done, and is one batch.
+
+    ``start`` starts the stream it is given, which goes on from its checkpoint. A part has as many files as tasks that wrote it.
+    """
     remove(spark, path)
     edges = [None, *bounds, None]
     for low, high in zip(edges, edges[1:]):
         part = df if low is None else df.filter(F.col(time) >= F.lit(low).cast(df.schema[time].dataType))
         part = part if high is None else part.filter(F.col(time) < F.lit(high).cast(df.schema[time].dataType))
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(df.schema).parquet(f"{path}/in")).awaitTermination()
 
 
 @query
 def stream_keep_last(spark, folder):
     base = scratch(spark, folder, "stream_keep_last")
-    stream = _in_turn(spark, panel_raw(spark, folder), base, "ts", ["1997-01-01", "1998-06-01", "2000-01-01"])
-    batches.stream_keep_last(stream, PANEL, f"{base}/out", f"{base}/state", delay="60 days").awaitTermination()
+    start = lambda stream: batches.stream_keep_last(stream, PANEL, f"{base}/out", f"{base}/state", delay="60 days")
+    _in_turn(spark, panel_raw(spark, folder), base, "ts", ["1997-01-01", "1998-06-01", "2000-01-01"], start)
     return batches.kept(spark, f"{base}/out").drop(*PANEL.arrival)
 
 
@@ -809,10 +812,8 @@ EVENT_CUTS = ["2024-01-08", "2024-01-15", "2024-01-22"]
 def stream_live_features(spark, folder):
     base = scratch(spark, folder, "stream_live_features")
     raw = live_raw(spark, folder).select("entity", F.col("ts").cast("timestamp").alias("ts"), "value", "k")
-    stream = _in_turn(spark, raw, base, "ts", EVENT_CUTS)
-    batches.stream_features(
-        stream, LIVE, f"{base}/out", f"{base}/state", watermark="1 hour", frequency="1d", lags=(1,), changes=(1,), windows=(3,), statistics=("mean",)
-    ).awaitTermination()
+    options = {"watermark": "1 hour", "frequency": "1d", "lags": (1,), "changes": (1,), "windows": (3,), "statistics": ("mean",)}
+    _in_turn(spark, raw, base, "ts", EVENT_CUTS, lambda stream: batches.stream_features(stream, LIVE, f"{base}/out", f"{base}/state", **options))
     found = spark.read.parquet(f"{base}/out/features").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "entity": F.col("entity").cast("string")})
     return rounded(found.select("entity", "ts", "value", "k", "value_lag_1h", "k_change_1h", "k_roll_mean_3h"), {"value": 3, "k_": 3})
 
@@ -821,8 +822,8 @@ def stream_live_features(spark, folder):
 def resample_stream_seven_hours(spark, folder):
     base = scratch(spark, folder, "resample_stream_seven_hours")
     raw = live_raw(spark, folder).select("entity", F.col("ts").cast("timestamp").alias("ts"), "value", "k")
-    stream = _in_turn(spark, raw, base, "ts", EVENT_CUTS)
-    batches.stream_anchored(stream, LIVE, f"{base}/out", f"{base}/state", frequency="7h", delay="1 hour").awaitTermination()
+    start = lambda stream: batches.stream_anchored(stream, LIVE, f"{base}/out", f"{base}/state", frequency="7h", delay="1 hour")
+    _in_turn(spark, raw, base, "ts", EVENT_CUTS, start)
     found = spark.read.parquet(f"{base}/out/windows").drop("batch")
     return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), {"value": 4})
 

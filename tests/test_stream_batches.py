@@ -5,6 +5,7 @@ import pytest
 from conftest import SPEC
 from pyspark.sql import functions as F
 
+from checks.queries import _in_turn
 from sensorloom.operators.clean import keep_last
 from sensorloom.operators.features import common_features
 from sensorloom.streaming import batches
@@ -105,3 +106,19 @@ def test_anchored_windows_of_a_stream_equal_those_of_a_batch(spark, live, tmp_pa
     run_again(path, tmp_path)
     start()
     assert bag(spark.read.parquet(f"{path}/windows").drop("batch")) == bag(wanted)
+
+
+def test_parts_of_a_table_in_turn_are_many_files_and_one_batch_each(spark, tmp_path):
+    table = spark.range(0, 400, 1, 4).select(F.col("id").alias("n"), F.timestamp_seconds(F.col("id") % 100).alias("ts"))
+    seen = []
+
+    def each(rows, batch):
+        found = rows.agg(F.count("n"), F.min("ts"), F.max("ts")).first()
+        seen.append((found[0], found[1].second, found[2].second, len(list((tmp_path / "parts" / "in").glob("part-*.parquet")))))
+
+    def start(stream):
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+
+    _in_turn(spark, table.filter("ts < timestamp_seconds(60)"), str(tmp_path / "parts"), "ts", ["1970-01-01 00:00:20", "1970-01-01 00:00:50"], start)
+    # One file would be one task that reads the whole table and, in its batch, all of a part.
+    assert seen == [(80, 0, 19, 4), (120, 20, 49, 8), (40, 50, 59, 12)]
