@@ -17,7 +17,7 @@ from ..settings import checkpoint
 from ..spec import PanelSpec
 from .asof import FORWARD, as_of_join
 from .ordered import Skew, by_time, windowed
-from .ranking import with_positions, with_running_totals
+from .ranking import unused, with_positions, with_running_totals
 
 # Blocks of scores that one task fits at once.
 BLOCKS = 100_000
@@ -125,6 +125,7 @@ def alarm_episodes(df: DataFrame, spec: PanelSpec, alarm: Column, gap: Column, s
     """(entity, timestamp): where an episode of alarms begins, one row each. An alarm more than ``gap`` after the
     one before it begins a new episode. Rows without entity or time raise none."""
     raised = df.filter(alarm).select(*spec.keys).filter(F.col(spec.entity).isNotNull() & F.col(spec.timestamp).isNotNull()).distinct()
+    raised = checkpoint(raised)  # read several times below, where entities are long
 
     def build(frame: DataFrame, keys: list[str]) -> DataFrame:
         return frame.withColumn("_before", F.lag(spec.timestamp).over(by_time(keys, spec)))
@@ -139,10 +140,14 @@ def event_lead_time(df: DataFrame, spec: PanelSpec, event: Column, alarm: Column
     An episode announces the first event at or after its begin, if that lies within ``horizon``; of several episodes
     before one event the earliest counts, so that each event and episode is matched once. The first
     table has the entity, event_at, alarm_at and lead (null if missed) and episodes, how many announced
-    it; the second the entity and alarm_at of false alarms.
+    it; the second the entity and alarm_at of false alarms. The table is read once: its events and alarms are kept in a checkpoint.
     """
-    events = df.filter(event).select(*spec.keys).filter(F.col(spec.entity).isNotNull() & F.col(spec.timestamp).isNotNull()).distinct()
-    begun = alarm_episodes(df, spec, alarm, gap)
+    is_event, is_alarm = (unused(df, n) for n in ("_event", "_alarm"))
+    marked = df.select(*spec.keys, F.coalesce(event, F.lit(False)).alias(is_event), F.coalesce(alarm, F.lit(False)).alias(is_alarm))
+    marked = marked.filter((F.col(is_event) | F.col(is_alarm)) & F.col(spec.entity).isNotNull() & F.col(spec.timestamp).isNotNull())
+    marked = checkpoint(marked.groupBy(*spec.keys).agg(F.max(is_event).alias(is_event), F.max(is_alarm).alias(is_alarm)))
+    events = marked.filter(is_event).select(*spec.keys)
+    begun = checkpoint(alarm_episodes(marked, spec, F.col(is_alarm), gap))
     ahead = checkpoint(
         as_of_join(
             begun, events.select(spec.entity, F.col(spec.timestamp).alias("event_at"), F.col(spec.timestamp).alias("_when")),

@@ -202,6 +202,22 @@ def test_lead_times_match_plain_version(spark, limit):
         assert all(r.lead == r.event_at - r.alarm_at for r in events.filter("alarm_at is not null").collect())
 
 
+def test_lead_times_read_the_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [("hot" if i % 3 else "b", i // 2, i % 7 == 0, i % 11 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "hive string, ts int, alarm boolean, event boolean").withColumn("ts", F.timestamp_seconds("ts")).repartition(4)
+    with bounds(spark, 20):
+        events, false = scores.event_lead_time(df.mapInPandas(counted, df.schema), SPEC, F.col("event"), F.col("alarm"), F.expr("INTERVAL 5 SECONDS"), F.expr("INTERVAL 1 SECOND"))
+        assert events.count() + false.count() > 30
+    assert read.value == 300  # it was read anew for every count, cut and join
+
+
 # --- preparation ------------------------------------------------------------------------------------
 
 
