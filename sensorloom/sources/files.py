@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import sort_panel
+from ..operators.ranking import unused
 from ..spec import PanelSpec
 
 _FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
@@ -31,7 +32,7 @@ def read_panel(spark: SparkSession, path: str, arrival: bool = True, multiline:
     """Read a CSV or Parquet table.
 
     ``arrival`` adds ``_arrival``, the place of each row in its file, which keep-last
-    orders by. CSV cells stay text (no inference pass); the operators cast them. Quoted cells
+    orders by (Parquet files are numbered in the order of their paths). CSV cells stay text (no inference pass); the operators cast them. Quoted cells
     may hold commas and doubled quotes; with ``multiline`` also line breaks, but then each file
     is one task, so it is off unless asked for. A record with another number of cells than the
     header fails the job.
@@ -39,8 +40,7 @@ def read_panel(spark: SparkSession, path: str, arrival: bool = True, multiline:
     kind = table_format(path)
     if kind == "parquet":
         df = spark.read.parquet(str(path))
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        return df.select("*", place.alias("_arrival")) if arrival else df
+        return _placed(df) if arrival else df
 
     df = spark.read.options(header=True, escape='"', multiLine=multiline, mode="FAILFAST").csv(str(path))
     names = df.columns
@@ -58,6 +58,19 @@ def read_panel(spark: SparkSession, path: str, arrival: bool = True, multiline:
     return df.select(*cells, place.alias("_arrival"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows of Parquet files with ``_arrival``: the number of their file and their place inside. A path in
+    each row would make most of what keep-last sorts, and a task reads millions of such rows."""
+    path, row, number = (unused(df, name) for name in ("_path", "_index", "_file"))
+    # Named by a scan, as its rows will name them; that reads no column.
+    files = df.select(F.col("_metadata.file_path").alias(path)).distinct().collect()
+    names = sorted((found[path] for found in files), key=str.encode)
+    numbered = df.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], f"`{path}` string, `{number}` long")
+    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    place = F.struct(F.col(number).alias("file"), F.col(row).alias("row"))
+    return rows.join(F.broadcast(numbered), path).select(*[f"`{name}`" for name in df.columns], place.alias("_arrival"))  # one row a file
+
+
 def with_arrival(df: DataFrame) -> DataFrame:
     """Number the rows of a frame that was not read from files in its current order."""
     return df.withColumn("_arrival", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 import datetime
 import os
 import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -279,6 +280,20 @@ def test_keep_last_drops_copies_before_the_exchange(spark, df):
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
+def test_place_of_parquet_rows_is_narrow_and_follows_paths(spark, tmp_path):
+    path = str(tmp_path / "in order %é.parquet")
+    for day, values in (("b", [3.0, 4.0]), ("a c", [1.0, 2.0]), ("é", [5.0, 6.0])):
+        rows = [("x", 1, v) for v in values] + [("only " + day, 1, 0.0), (None, None, values[0])]
+        spark.createDataFrame(rows, "hive string, ts int, a double").coalesce(1).write.parquet(f"{path}/day={day}")
+    found = read_panel(spark, path)
+    assert found.columns == ["hive", "ts", "a", "day", "_arrival"] and found.schema["_arrival"].dataType.simpleString() == "struct<file:bigint,row:bigint>"
+    paths = spark.read.parquet(path).select("hive", "a", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    assert [r.a for r in found.orderBy("_arrival").collect()] == [r.a for r in paths.orderBy("at").collect()]
+    kept = keep_last(found, SPEC.with_arrival("_arrival")).select("hive", "a")
+    assert Counter(map(tuple, kept.collect())) == Counter([("x", 6.0), ("only b", 0.0), ("only a c", 0.0), ("only é", 0.0), (None, 5.0)])
+    assert read_panel(spark, path, arrival=False).count() == 12
+
+
 def test_sample_is_a_bounded_top_k(spark, df):
     sample = profile.relationship_sample(df, SPEC, limit=50)
     assert sample.count() == 50
